@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from millrace.llm import simhash
+from millrace.llm import bpe, decontaminate, secrets, simhash
 
 QUERIES = {
+    "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op7_secrets": secrets.op7_secrets,
     "op8_simhash": simhash.op8_simhash,
+    "op9_bpe": bpe.op9_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
