@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from millrace.llm import bpe, decontaminate, secrets, simhash
+from millrace.llm import bpe, decontaminate, quality, secrets, simhash, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_quality": quality.op6_quality,
     "op7_secrets": secrets.op7_secrets,
     "op8_simhash": simhash.op8_simhash,
     "op9_bpe": bpe.op9_bpe,
