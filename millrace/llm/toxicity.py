@@ -5,7 +5,8 @@ word by word and run through five composed transducers. The insult and threat tr
 the weight of the word (a threat verb only after a modal or first person); the target transducer
 raises what is aimed at a person or at "this ..."; the negation transducer lowers what stands
 within its scope; the reported-speech transducer lowers what stands behind a verb of speech or in
-quotes. A clause scores its strongest path, read from either side. A document's score is logistic
+quotes. A clause (at most 400 characters to either side of the word) scores its strongest path,
+read from either side. A document's score is logistic
 in the strongest clause and the logarithm of their sum.
 
 Word weights are log odds from labelled rows: fixed seed words start with a prior, further
@@ -44,8 +45,8 @@ REPORTS = frozenset("said says say wrote writes claimed claims called reported q
 WORD = re.compile(r"[^\W\d_]+|[\"“”«»]")
 BREAK = re.compile(r"[.!?;:,\n]")
 SEED = 4.0  # log odds of a seed word before any label is seen
-STEM = range(4, 7)  # letters of an induced word beginning
-CONTEXTS = 5  # different words before it, among toxic rows, that an induced entry needs
+STEM = range(4, 10)  # letters of an induced word beginning
+CONTEXTS = 6  # different words before it, among toxic rows, that an induced entry needs
 
 
 class Transducer:
@@ -190,11 +191,11 @@ def _induce(texts: list[str], toxic: list[int]) -> tuple[dict[str, float], dict[
             break
     words, stems = {w: SEED for w in INSULTS}, {}
     odds = lambda key: math.log((df[1][key] + 0.2) / n[1]) - math.log((df[0][key] + 0.2) / n[0])
-    for key in sorted(before, key=lambda k: (len(k), k)):
-        if len(before[key]) < CONTEXTS or df[1][key] < 20 * df[0][key] * n[1] / n[0]:
+    for key in sorted(before, key=lambda k: (k[-1] == "$", len(k), k)):
+        if len(before[key]) < CONTEXTS or df[1][key] < 30 * df[0][key] * n[1] / n[0]:
             continue
         if key[-1] == "$":
-            if len(key) > 4:
+            if len(key) > 4 and not any(key[:-1].startswith(k) for k in stems):
                 words[key[:-1]] = odds(key)
         elif not any(key[:k] in stems for k in STEM):
             stems[key] = odds(key)
