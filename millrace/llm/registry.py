@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from millrace.llm import bpe, decontaminate, quality, secrets, simhash, toxicity
+from millrace.llm import bpe, decontaminate, quality, secrets, simhash, substrings, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_substrings": substrings.op2_substrings,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_quality": quality.op6_quality,
     "op7_secrets": secrets.op7_secrets,
