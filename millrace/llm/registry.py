@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import bpe, decontaminate, quality, secrets, simhash, substrings, toxicity
+from millrace.llm import bpe, decontaminate, pii, quality, secrets, simhash, substrings, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_secrets": secrets.op7_secrets,
     "op8_simhash": simhash.op8_simhash,
     "op9_bpe": bpe.op9_bpe,
+    "op10_pii": pii.op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {}
