@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from millrace.llm import bpe, decontaminate, embeddings, pii, quality, secrets, simhash, substrings, toxicity
+from millrace.llm import bpe, decontaminate, embeddings, lm, pii, quality, secrets, simhash, substrings, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_substrings": substrings.op2_substrings,
+    "op3_lm": lm.op3_lm,
     "op4_embeddings": embeddings.op4_embeddings,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_quality": quality.op6_quality,
