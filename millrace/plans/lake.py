@@ -204,8 +204,9 @@ class LakeTable:
         return self.spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.path}/data")
 
     def diff(self, old: int, new: int) -> DataFrame:
-        """Rows of ``new`` that ``old`` lacks, with their multiplicity."""
-        return self.read(new).exceptAll(self.read(old))
+        """Rows of ``new`` that ``old`` lacks, with their multiplicity; columns that ``old`` lacks are null there."""
+        now, before = self.read(new), self.read(old)
+        return now.exceptAll(before.select(*[F.col(f.name) if f.name in before.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in now.schema]))
 
     # maintenance
 

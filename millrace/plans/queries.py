@@ -118,7 +118,7 @@ LAGS = """lg AS (SELECT *, lag(units, 1) OVER w units_lag_1d, lag(units, 7) OVER
  avg(units) OVER w14 units_avg_14d, avg(revenue) OVER w7 revenue_avg_7d FROM dd WINDOW w AS (PARTITION BY store_id, sku ORDER BY feature_date),
  w7 AS (PARTITION BY store_id, sku ORDER BY feature_date RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND INTERVAL 1 DAY PRECEDING),
  w14 AS (PARTITION BY store_id, sku ORDER BY feature_date RANGE BETWEEN INTERVAL 14 DAYS PRECEDING AND INTERVAL 1 DAY PRECEDING))"""
-LAG_COLUMNS = """units_lag_1d, units_lag_7d, round(units_avg_7d, 6) units_avg_7d, units_max_7d, round(units_avg_14d, 6) units_avg_14d, round(revenue_avg_7d, 2) revenue_avg_7d,
+LAG_COLUMNS = """units_lag_1d, units_lag_7d, round(units_avg_7d, 6) units_avg_7d, units_max_7d, round(units_avg_14d, 6) units_avg_14d, round(revenue_avg_7d, 6) revenue_avg_7d,
  round(CASE WHEN units_avg_14d > 0 THEN units_avg_7d / units_avg_14d END, 6) demand_trend_7d"""
 CALENDAR = "dayofweek(feature_date)::INTEGER + 1 day_of_week, dayofweek(feature_date) IN (0, 6) is_weekend, day(feature_date)::INTEGER day_of_month"
 ZONES = """zw AS (SELECT time_bucket(INTERVAL 5 MINUTES, event_time) window_start, time_bucket(INTERVAL 5 MINUTES, event_time) + INTERVAL 5 MINUTES window_end, zone, city, count(*) order_count,
@@ -269,7 +269,7 @@ def daily_demand_query(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lag_features(spark: SparkSession, d: str) -> DataFrame:
-    out = rounded(add_lags(daily_demand(order_events(spark, d))), {"units_avg_7d": 6, "units_avg_14d": 6, "revenue_avg_7d": 2, "demand_trend_7d": 6})
+    out = rounded(add_lags(daily_demand(order_events(spark, d))), {"units_avg_7d": 6, "units_avg_14d": 6, "revenue_avg_7d": 6, "demand_trend_7d": 6})
     return out.drop("order_lines", "revenue")
 
 
@@ -282,7 +282,7 @@ def calendar_lag(spark: SparkSession, d: str) -> DataFrame:
 
 
 def feature_table(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(add_calendar(add_lags(daily_demand(order_events(spark, d)))), {"revenue": 2, "units_avg_7d": 6, "units_avg_14d": 6, "revenue_avg_7d": 2, "demand_trend_7d": 6})
+    return rounded(add_calendar(add_lags(daily_demand(order_events(spark, d)))), {"revenue": 2, "units_avg_7d": 6, "units_avg_14d": 6, "revenue_avg_7d": 6, "demand_trend_7d": 6})
 
 
 def daily_metrics(spark: SparkSession, d: str) -> DataFrame:
