@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.buckets import spread
 from millrace.llm.common import Poly, arrow_map, groups_of, held_out, joined, symbols, table, text_bytes, word_bounds
 from millrace.llm.toxicity import labelled
 
@@ -56,10 +57,12 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     if len(lo):
         full = np.flatnonzero(words)
         at = np.searchsorted(passage, full)
-        edges = np.append(lo[at], starts[-1])
-        edges[:-1][np.diff(np.concatenate(([-1], doc[at]))) > 0] = starts[doc[at]][np.diff(np.concatenate(([-1], doc[at]))) > 0]
-        owner = np.repeat(full, np.diff(edges))
-        counts = np.bincount(owner * N_CLASS + _class[data[edges[0]:edges[-1]]], minlength=total * N_CLASS).reshape(total, N_CLASS)
+        own = doc[at]
+        new = np.diff(own, prepend=-1) > 0
+        begin = np.where(new, starts[own], lo[at])  # what stands between passages counts with the one before
+        end = np.append(np.where(new[1:], starts[own[:-1] + 1] - 1, begin[1:]), starts[own[-1] + 1] - 1)
+        which, rank = spread(end - begin)
+        counts = np.bincount(full[which] * N_CLASS + _class[data[begin[which] + rank]], minlength=total * N_CLASS).reshape(total, N_CLASS)
         x[:, :N_CLASS] = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
         h = Poly(symbols(data)).slices(lo, hi)
         size = (hi - lo).astype(float)
@@ -77,6 +80,7 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         x[:, N_CLASS + 6] = np.bincount(passage, capital, total) / w
         bucket = (h % np.uint64(BUCKETS)).astype(np.int64)
         x[:, N_CLASS + 7:] = np.bincount(passage * BUCKETS + bucket, minlength=total * BUCKETS).reshape(total, BUCKETS) / w[:, None]
+        x[words == 0] = 0
     return x, bag
 
 

@@ -194,4 +194,4 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group, the row of the least doc_id stays, once."""
     found = near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id", "text"])
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["_kept"]), "left_semi").dropDuplicates(["doc_id", "text"])

@@ -1,12 +1,12 @@
 """Toxicity by a weighted finite-state pattern grammar (operator 1).
 
 Each clause (text between `.!?;:,` and line ends) that holds an insult or threat word is tagged
-word by word and run through five composed transducers. The insult and threat transducers emit
+word by word and run through five transducers, four of them composed. The insult and threat transducers emit
 the weight of the word (a threat verb only after a modal or first person); the target transducer
 raises what is aimed at a person or at "this ..."; the negation transducer lowers what stands
 within its scope; the reported-speech transducer lowers what stands behind a verb of speech or in
-quotes. A clause (at most 400 characters to either side of the word) scores its strongest path,
-read from either side. A document's score is logistic
+quotes. A clause (at most 400 characters to either side of the word) scores its strongest path;
+targets are looked for from either side. A document's score is logistic
 in the strongest clause and the logarithm of their sum.
 
 Word weights are log odds from labelled rows: fixed seed words start with a prior, further
@@ -91,10 +91,14 @@ def grammar() -> Composed:
     insult = Transducer({})
     threat = Transducer({(0, "T"): (0, 0.1), (0, "M"): (4, 1.0)} | {(s, "T"): (s - 1, 1.0) for s in range(1, 5)}
                         | {(s, "M"): (4, 1.0) for s in range(1, 5)} | {(s, c): (s - 1, 1.0) for s in range(1, 5) for c in "IYNRQO"})
-    target = scope("Y", 5, {"I": 1.3, "T": 1.3}, every)
     negation = scope("N", 3, {"I": 0.35, "T": 0.35}, every)
     report = Transducer({(0, "R"): (1, 1.0), (0, "Q"): (1, 1.0), (1, "Q"): (0, 1.0), (1, "I"): (1, 0.5), (1, "T"): (1, 0.5)})
-    return Composed(insult, threat, target, negation, report)
+    return Composed(insult, threat, negation, report)
+
+
+def aim() -> Transducer:
+    """The target transducer, which is run from the left and from the right."""
+    return scope("Y", 5, {"I": 1.3, "T": 1.3}, "ITMYNRQO")
 
 
 class Model:
@@ -106,7 +110,7 @@ class Model:
 
     def ready(self) -> Model:
         if not hasattr(self, "grammar"):
-            self.grammar = grammar()
+            self.grammar, self.target = grammar(), aim()
             self.triggers = ahocorasick.Automaton()
             for w in {*self.words, *self.stems, *THREATS}:
                 self.triggers.add_word(w, len(w))
@@ -133,14 +137,18 @@ class Model:
         return ("Q" if word in '"“”«»' else "O"), 0.0
 
     def clause(self, clause: str) -> float:
-        """The strongest path over the words of a clause, from the left or from the right."""
+        """The strongest path over the words of a clause."""
         tape = [self.tag(w) for w in WORD.findall(clause)]
-        best = 0.0
-        for way in (tape, tape[::-1]):
-            state = self.grammar.start
-            for symbol, weight in way:
-                state, factor = self.grammar.go(state, symbol)
-                best = max(best, weight * factor)
+        aimed = [1.0] * len(tape)
+        for way in (range(len(tape)), range(len(tape) - 1, -1, -1)):
+            state = 0
+            for i in way:
+                state, factor = self.target.go(state, tape[i][0])
+                aimed[i] = max(aimed[i], factor)
+        best, state = 0.0, self.grammar.start
+        for (symbol, weight), factor in zip(tape, aimed):
+            state, other = self.grammar.go(state, symbol)
+            best = max(best, weight * factor * other)
         return best
 
     def features(self, text: str) -> tuple[float, float]:
