@@ -10,7 +10,8 @@ targets are looked for from either side. A document's score is logistic
 in the strongest clause and the logarithm of their sum.
 
 Word weights are log odds from labelled rows: fixed seed words start with a prior, further
-words and word beginnings are induced where they mark toxic rows in several different contexts.
+words and word beginnings are induced where they mark toxic rows, and hardly any others, in several
+different contexts.
 
 Learning takes labelled rows whose crc32(doc_id as text) mod 5 is not 0, at most ``max_rows`` of
 them in order of a hash of the id. Scores depend on the text alone.
@@ -47,6 +48,9 @@ BREAK = re.compile(r"[.!?;:,\n]")
 SEED = 4.0  # log odds of a seed word before any label is seen
 STEM = range(4, 10)  # letters of an induced word beginning
 CONTEXTS = 6  # different words before it, among toxic rows, that an induced entry needs
+RATIO = 30  # times as common among toxic rows as among others, at least
+PURE = 300  # the same, for entries that are taken whatever rows others cover
+COST, LEAST = 3, 3  # toxic rows that one other row outweighs; toxic rows that an entry must add
 
 
 class Transducer:
@@ -178,36 +182,47 @@ class Model:
 
 
 def _induce(texts: list[str], toxic: list[int]) -> tuple[dict[str, float], dict[str, float]]:
-    """Words and word beginnings with their log odds."""
+    """Words and word beginnings with their log odds.
+
+    First all that are ``PURE`` times as common among toxic rows, the shortest beginning of each; then
+    greedily what covers the most toxic rows that none covers yet, less ``COST`` for each other row.
+    """
     n = [max(1, len(toxic) - sum(toxic)), max(1, sum(toxic))]
-    df = (Counter(), Counter())
+    others: Counter[str] = Counter()
+    rows: dict[str, set[int]] = defaultdict(set)
     before: dict[str, set[str]] = defaultdict(set)
-    for text, y in sorted(zip(texts, toxic), key=lambda x: -x[1]):
-        own: dict[str, str] = {}
-        prev = ""
-        for w in WORD.findall(text.lower()):
+    order = sorted(range(len(texts)), key=lambda i: -toxic[i])
+    for at, i in enumerate(order):
+        if at == sum(toxic):
+            rows = {k: v for k, v in rows.items() if len(before[k]) >= CONTEXTS}
+        prev, seen = "", set()
+        for w in WORD.findall(texts[i].lower()):
             for k in (*STEM, 0):
+                if len(w) < max(k, STEM[0]):
+                    continue
                 key = w[:k] if k else f"{w}$"
-                if len(w) >= k and (y or key in before):
-                    own.setdefault(key, prev)
+                if toxic[i]:
+                    rows[key].add(i)
+                    before[key].add(prev)
+                elif key in rows:
+                    seen.add(key)
             prev = w
-        for key, p in own.items():
-            df[y][key] += 1
-            if y:
-                before[key].add(p)
-        if y == 0 and not before:
+        others.update(seen)
+    rows = {k: v for k, v in rows.items() if len(before[k]) >= CONTEXTS and len(v) * n[0] >= RATIO * others[k] * n[1]}
+    odds = {k: math.log((len(v) + 0.2) / n[1]) - math.log((others[k] + 0.2) / n[0]) for k, v in rows.items()}
+    chosen: list[str] = []
+    for key in sorted(rows, key=lambda k: (k[-1] == "$", len(k), k)):
+        if len(rows[key]) * n[0] >= PURE * others[key] * n[1] and not any(key[:k] in chosen for k in STEM):
+            chosen.append(key)
+    covered = set().union(*(rows.pop(k) for k in chosen))
+    while rows:
+        gain, _, key = max((len(v - covered) - COST * others[k], -len(k), k) for k, v in rows.items())
+        if gain < LEAST:
             break
-    words, stems = {w: SEED for w in INSULTS}, {}
-    odds = lambda key: math.log((df[1][key] + 0.2) / n[1]) - math.log((df[0][key] + 0.2) / n[0])
-    for key in sorted(before, key=lambda k: (k[-1] == "$", len(k), k)):
-        if len(before[key]) < CONTEXTS or df[1][key] < 30 * df[0][key] * n[1] / n[0]:
-            continue
-        if key[-1] == "$":
-            if len(key) > 4 and not any(key[:-1].startswith(k) for k in stems):
-                words[key[:-1]] = odds(key)
-        elif not any(key[:k] in stems for k in STEM):
-            stems[key] = odds(key)
-    return {w: v for w, v in words.items() if v > 1}, {w: v for w, v in stems.items() if v > 1}
+        covered |= rows.pop(key)
+        chosen.append(key)
+    words = {w: SEED for w in INSULTS} | {k[:-1]: odds[k] for k in chosen if k[-1] == "$"}
+    return words, {k: odds[k] for k in chosen if k[-1] != "$"}
 
 
 def logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: float = 1.0) -> np.ndarray:
