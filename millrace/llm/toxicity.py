@@ -27,7 +27,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -181,6 +181,19 @@ class Model:
         return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
+def _keys(text: str) -> Iterator[tuple[str, str]]:
+    """Each word (with a ``$``) and its beginnings, with the word before."""
+    prev = ""
+    for w in WORD.findall(text.lower()):
+        if len(w) >= STEM[0]:
+            yield f"{w}$", prev
+            for k in STEM:
+                if len(w) < k:
+                    break
+                yield w[:k], prev
+        prev = w
+
+
 def _induce(texts: list[str], toxic: list[int]) -> tuple[dict[str, float], dict[str, float]]:
     """Words and word beginnings with their log odds.
 
@@ -188,26 +201,23 @@ def _induce(texts: list[str], toxic: list[int]) -> tuple[dict[str, float], dict[
     greedily what covers the most toxic rows that none covers yet, less ``COST`` for each other row.
     """
     n = [max(1, len(toxic) - sum(toxic)), max(1, sum(toxic))]
+    often: Counter[str] = Counter()  # toxic rows of each key; only keys of several rows are looked at more closely
+    for text, y in zip(texts, toxic):
+        if y:
+            often.update({key for key, _ in _keys(text)})
+    several = {k for k, v in often.items() if v >= CONTEXTS}
+    del often
     others: Counter[str] = Counter()
     rows: dict[str, set[int]] = defaultdict(set)
     before: dict[str, set[str]] = defaultdict(set)
-    order = sorted(range(len(texts)), key=lambda i: -toxic[i])
-    for at, i in enumerate(order):
-        if at == sum(toxic):
-            rows = {k: v for k, v in rows.items() if len(before[k]) >= CONTEXTS}
-        prev, seen = "", set()
-        for w in WORD.findall(texts[i].lower()):
-            for k in (*STEM, 0):
-                if len(w) < max(k, STEM[0]):
-                    continue
-                key = w[:k] if k else f"{w}$"
-                if toxic[i]:
+    for i, text in enumerate(texts):
+        if toxic[i]:
+            for key, prev in _keys(text):
+                if key in several:
                     rows[key].add(i)
                     before[key].add(prev)
-                elif key in rows:
-                    seen.add(key)
-            prev = w
-        others.update(seen)
+        else:
+            others.update({key for key, _ in _keys(text) if key in several})
     rows = {k: v for k, v in rows.items() if len(before[k]) >= CONTEXTS and len(v) * n[0] >= RATIO * others[k] * n[1]}
     odds = {k: math.log((len(v) + 0.2) / n[1]) - math.log((others[k] + 0.2) / n[0]) for k, v in rows.items()}
     chosen: list[str] = []
