@@ -1,7 +1,7 @@
 """Language-model scores by online logistic context mixing (operator 3).
 
 A text is its UTF-8 bytes and one end symbol. Symbols are spelled as the binary decisions of a
-Huffman code, and each decision is predicted from several contexts: the last 2, 4 and 6
+Huffman code that goes by the symbol before, and each decision is predicted from several contexts: the last 2, 4 and 6
 symbols and what the word has so far, hashed together with the place in the code into tables of bit counts from the training
 texts. The predictors' log odds are combined by weights that a gate selects (place in the code,
 and whether the two longest contexts are unseen, unsure or sure), and the weights are refined online: after each block of a text
@@ -16,7 +16,8 @@ a hash of their id, shape the code and the starting weights, and are left out of
 the weights see unseen text.
 
 Base scores: words are the runs `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, and an end token; counts are
-summed by word hash. The ``frequent`` most frequent words are broadcast, the others are joined.
+summed by word hash. The most frequent words, ``frequent`` at most, are broadcast, the
+others are joined.
 
 Training texts are those whose crc32(doc_id as text) mod 7 is not 2.
 
@@ -45,37 +46,63 @@ ORDERS = (2, 4, 6, 0)  # 0: back to where the word began
 TABLE_BITS = (20, 21, 21, 22)  # slots of each context's table, as powers of two
 BASE = np.concatenate(([0], np.cumsum([1 << b for b in TABLE_BITS]))).astype(np.int64)
 CHUNK = 1 << 16  # slots of a block that is sent
-GROUP = 200_000  # bytes handled at once
+GROUP = 60_000  # bytes handled at once
 STEP = 2048  # symbols between refinements of the weights
-DEPTHS, SURE = 3, 2.0
+DEPTHS, SURE = 3, 30  # sure: log odds of two and more
+UNIT = 15  # stored steps of one in log odds
 GATES = 9 * DEPTHS
 RATE = 0.2
 
 
+def _paths(counts: np.ndarray) -> list[list[tuple[int, int]]]:
+    """The decisions (node, outcome) that spell each symbol in a Huffman code for these counts."""
+    heap = [(int(c) + 1, s, s) for s, c in enumerate(counts)]
+    heapq.heapify(heap)
+    fresh, up = 257, {}
+    while len(heap) > 1:
+        a, b = heapq.heappop(heap), heapq.heappop(heap)
+        up[a[2]], up[b[2]] = (fresh, 0), (fresh, 1)
+        heapq.heappush(heap, (a[0] + b[0], fresh, fresh))
+        fresh += 1
+    out = []
+    for s in range(257):
+        path = []
+        while s in up:
+            s, bit = up[s]
+            path.append((s, bit))
+        out.append(path[::-1])
+    return out
+
+
 class Code:
-    """A Huffman code over bytes and the end symbol; nodes are numbered, decisions are flat arrays."""
-
-    def __init__(self, counts: np.ndarray) -> None:
-        heap = [(int(c) + 1, s, s) for s, c in enumerate(counts)]
-        heapq.heapify(heap)
-        fresh, up = 257, {}
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            up[a[2]], up[b[2]] = (fresh, 0), (fresh, 1)
-            heapq.heappush(heap, (a[0] + b[0], fresh, fresh))
-            fresh += 1
+    """Huffman codes over bytes and the end symbol, one for each frequent symbol before and one for all others.
+
+    ``counts[a, b]``: how often b follows a, the end symbol standing before a text's first. The decisions of
+    all codes are flat arrays; those of code k and symbol s begin at ``start[257 * k + s]``.
+    """
+
+    def __init__(self, counts: np.ndarray, least: int = 200) -> None:
+        own = np.flatnonzero(counts.sum(axis=1) >= least)
+        self.which = np.zeros(257, np.int32)
+        self.which[own] = np.arange(1, len(own) + 1)
         nodes, bits, size = [], [], []
-        for s in range(257):
-            path = []
-            while s in up:
-                s, bit = up[s]
-                path.append((s, bit))
-            size.append(len(path))
-            nodes += [n for n, _ in reversed(path)]
-            bits += [b for _, b in reversed(path)]
-        self.size = np.array(size)
+        for k, c in enumerate([counts.sum(axis=0), *counts[own]]):
+            for path in _paths(c):
+                size.append(len(path))
+                nodes += [1024 * k + n for n, _ in path]
+                bits += [b for _, b in path]
+        self.size = np.array(size, np.int32)
         self.start = np.cumsum(self.size) - self.size
-        self.nodes, self.bits = mix64(np.array(nodes, np.uint64) + np.uint64(1)), np.array(bits, np.int32)
+        self.nodes, self.bits = mix64(np.array(nodes, np.uint64)), np.array(bits, np.int64)
+
+
+def pair_counts(texts: list[bytes]) -> np.ndarray:
+    """How often each symbol follows each other one, or a text's beginning."""
+    total = np.zeros(257 * 257, np.int64)
+    for lo, hi in groups_of(texts):
+        s, _ = _symbols(texts[lo:hi])
+        total += np.bincount(np.concatenate(([END], s[:-1])) * 257 + s, minlength=257 * 257)
+    return total.reshape(257, 257)
 
 
 def _symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -92,13 +119,14 @@ class Decisions:
     def __init__(self, texts: list[bytes], code: Code) -> None:
         s, starts = _symbols(texts)
         self.starts = starts
-        size = code.size[s]
-        self.at = np.concatenate(([0], np.cumsum(size)))
-        owner = np.repeat(np.arange(len(s), dtype=np.int32), size)
-        rank = np.arange(len(owner), dtype=np.int32) - self.at[:-1].astype(np.int32).take(owner)
-        flat = code.start.astype(np.int32)[s].take(owner) + rank
-        node = code.nodes.take(flat)
-        self.bit = code.bits.take(flat)
+        spelled = 257 * code.which[np.concatenate(([END], s[:-1]))] + s  # the end of the text before counts as the symbol before
+        size = code.size[spelled]
+        self.at = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+        owner = np.repeat(np.arange(len(s)), size)
+        rank = np.arange(len(owner)) - self.at.take(owner, mode="clip")
+        flat = code.start[spelled].take(owner, mode="clip") + rank
+        node = code.nodes.take(flat, mode="clip")
+        self.bit = code.bits.take(flat, mode="clip")
         place = np.arange(len(s))
         first = np.repeat(starts[:-1], np.diff(starts))
         space = np.concatenate(([False], SPACE[s[:-1]]))
@@ -106,7 +134,7 @@ class Decisions:
         poly = Poly(symbols(s))
         self.slots = []
         for order, bits in zip(ORDERS, TABLE_BITS):
-            h = poly.slices(np.maximum(first, place - order) if order else word, place).take(owner)
+            h = poly.slices(np.maximum(first, place - order) if order else word, place).take(owner, mode="clip")
             h ^= node
             h >>= np.uint64(64 - bits)
             self.slots.append(h.view(np.int64))
@@ -118,8 +146,8 @@ def gates(depth: np.ndarray, long: np.ndarray, word: np.ndarray) -> np.ndarray:
     sure = []
     for x in (long, word):
         a = np.abs(x)
-        sure.append((a > 0).astype(np.int32) + (a > SURE))
-    return (depth * 3 + sure[0]) * 3 + sure[1]
+        sure.append((a > 0).view(np.int8) + (a > SURE).view(np.int8))
+    return depth * 9 + (sure[0] * np.int8(3) + sure[1])
 
 
 def add_counts(texts: list[bytes], code: Code, totals: np.ndarray) -> None:
@@ -131,9 +159,9 @@ def add_counts(texts: list[bytes], code: Code, totals: np.ndarray) -> None:
 
 
 def odds_of(totals: np.ndarray) -> np.ndarray:
-    """Log odds of each slot; those never seen say nothing."""
-    n = totals.reshape(-1, 2).astype(np.float64) + 0.15
-    return np.clip(np.log(n[:, 1] / n[:, 0]), -8, 8).astype(np.float32)
+    """Log odds of each slot in steps of 1 / UNIT; those never seen say nothing."""
+    n = totals.reshape(-1, 2).astype(np.float32) + np.float32(0.15)
+    return np.clip(np.rint(np.log(n[:, 1] / n[:, 0]) * UNIT), -127, 127).astype(np.int8)
 
 
 class Mixer:
@@ -141,7 +169,7 @@ class Mixer:
 
     def __init__(self, code: Code, odds: np.ndarray, weights: np.ndarray | None = None) -> None:
         self.code, self.odds = code, odds
-        self.weights = np.full((len(ORDERS), GATES), 0.35, np.float32) if weights is None else weights
+        self.weights = np.full((len(ORDERS), GATES), 0.35 / UNIT, np.float32) if weights is None else weights
 
     def run(self, texts: list[bytes], weights: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """log10 probability of each text, and the weights after the last; ``keep`` carries them on between texts."""
@@ -149,7 +177,7 @@ class Mixer:
         w = weights.copy()
         for lo, hi in groups_of(texts, GROUP):
             d = Decisions(texts[lo:hi], self.code)
-            s = [self.odds[base:].take(x) for x, base in zip(d.slots, BASE)]
+            s = [self.odds[base:].take(x, mode="clip") for x, base in zip(d.slots, BASE)]
             gate = gates(d.depth, s[-2], s[-1])
             sign = (2 * d.bit - 1).astype(np.float32)
             for k in range(hi - lo):
@@ -158,9 +186,9 @@ class Mixer:
                 for a in range(d.starts[k], d.starts[k + 1], STEP):
                     i, j = d.at[a], d.at[min(a + STEP, d.starts[k + 1])]
                     g, own = gate[i:j], [x[i:j] for x in s]
-                    x = w[0].take(g) * own[0]
+                    x = w[0].take(g, mode="clip") * own[0]
                     for c in range(1, len(own)):
-                        x += w[c].take(g) * own[c]
+                        x += w[c].take(g, mode="clip") * own[c]
                     np.clip(x, -12, 12, out=x)
                     x *= sign[i:j]
                     e = np.exp(-x)
@@ -168,7 +196,7 @@ class Mixer:
                     miss = sign[i:j] * (e / (1 + e))
                     n = np.bincount(g, minlength=GATES) + 50.0
                     for c in range(len(own)):
-                        w[c] += (RATE * np.bincount(g, miss * own[c], GATES) / n).astype(np.float32)
+                        w[c] += (RATE / UNIT**2 * np.bincount(g, miss * own[c], GATES) / n).astype(np.float32)
         return out / math.log(10), w
 
 
@@ -180,10 +208,7 @@ def fit(train: DataFrame, mixer_rows: int = 300) -> Mixer:
     """Counts over all of ``train`` (doc_id, text) but the mixer's rows."""
     spark = train.sparkSession
     own = _sample(train, mixer_rows)
-    counts = np.zeros(257)
-    for lo, hi in groups_of([t for _, t in own]):
-        counts += np.bincount(_symbols([t for _, t in own[lo:hi]])[0], minlength=257)
-    code = Code(counts)
+    code = Code(pair_counts([t for _, t in own]))
     held, skip = spark.sparkContext.broadcast(code), frozenset(i for i, _ in own)
 
     def count(batches):
@@ -210,14 +235,14 @@ def fit(train: DataFrame, mixer_rows: int = 300) -> Mixer:
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.frombuffer(zlib.decompress(add(pdf)["data"].iloc[0]), np.int64)
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "data": [odds_of(total).astype(np.float16).tobytes()]})
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "data": [odds_of(total).tobytes()]})
 
     sent = train.mapInArrow(count, "block int, task int, data binary")
     fan = max(1, math.isqrt(sent.rdd.getNumPartitions()))
     summed = sent.groupBy("block", F.pmod("task", F.lit(fan)).alias("salt")).applyInPandas(add, "block int, task int, data binary")
-    odds = np.zeros(BASE[-1], np.float32)
+    odds = np.zeros(BASE[-1], np.int8)
     for r in summed.groupBy("block").applyInPandas(finish, "block int, data binary").collect():  # the fixed size of the tables
-        part = np.frombuffer(r.data, np.float16)[:len(odds) - r.block * CHUNK]
+        part = np.frombuffer(r.data, np.int8)[:len(odds) - r.block * CHUNK]
         odds[r.block * CHUNK:r.block * CHUNK + len(part)] = part
     mixer = Mixer(code, odds)
     mixer.weights = mixer.run([t for _, t in own], mixer.weights, keep=True)[1]
@@ -245,6 +270,18 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("c"))
 
 
+def _most_frequent(counts: DataFrame, limit: int) -> DataFrame:
+    """The words above the least step of the logarithm of the count that ``limit`` words at most lie above."""
+    step = F.floor(F.log2("c") * 16)
+    total, cut = 0, None
+    for r in sorted(counts.groupBy(step.alias("s")).count().collect(), key=lambda r: -r.s):  # some hundred steps
+        total += r["count"]
+        if total > limit:
+            break
+        cut = r.s
+    return counts.where(F.lit(False) if cut is None else step >= cut)
+
+
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, remainder: int = 2,
            mixer_rows: int = 300, frequent: int = 1 << 17) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of each row."""
@@ -257,7 +294,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modu
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     ends = train.count()
     n_all, n_kinds = total.n + ends, total.v + (ends > 0)
-    top = counts.orderBy(F.desc("c"), "h").limit(frequent).toPandas().sort_values("h")
+    top = _most_frequent(counts, frequent).toPandas().sort_values("h")
     known = spark.sparkContext.broadcast((top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64)))
 
     def one(b: pa.RecordBatch) -> dict:

@@ -106,7 +106,7 @@ def test_no_training_texts(spark):
 
 
 def mixer(sample):
-    code = lm.Code(np.bincount(lm._symbols(sample)[0], minlength=257))
+    code = lm.Code(lm.pair_counts(sample))
     totals = np.zeros(2 * lm.BASE[-1], np.int32)
     lm.add_counts(sample, code, totals)
     return lm.Mixer(code, lm.odds_of(totals))
