@@ -92,6 +92,18 @@ def held_out(doc_id, modulus: int, remainder: int):
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus) == remainder
 
 
+def hash_sample(df: DataFrame, id_col: str, rows: int) -> DataFrame:
+    """The ``rows`` rows that come first by a hash of their id.
+
+    Only rows below a hash limit that about four times as many pass are sorted, so what tasks send does
+    not grow with their number.
+    """
+    top = 1 << 40
+    limit = min(top, 4 * rows * top // max(1, df.count()) + 1)
+    h = F.pmod(F.xxhash64(id_col), F.lit(top))
+    return df.where(h < limit).orderBy(h, id_col).limit(rows)
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components by alternating large-star and small-star rounds.
 

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import LOWER, SPACE, Poly, arrow_map, groups_of, held_out, joined, mix64, stage, symbols, table, text_bytes, word_bounds
+from millrace.llm.common import LOWER, SPACE, Poly, arrow_map, groups_of, hash_sample, held_out, joined, mix64, stage, symbols, table, text_bytes, word_bounds
 
 END = 256
 ORDERS = (2, 4, 6, 0)  # 0: back to where the word began
@@ -201,7 +201,7 @@ class Mixer:
 
 
 def _sample(train: DataFrame, rows: int) -> list[tuple]:
-    return [(r.doc_id, (r.text or "").encode()) for r in train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()]
+    return [(r.doc_id, (r.text or "").encode()) for r in hash_sample(train, "doc_id", rows).collect()]
 
 
 def fit(train: DataFrame, mixer_rows: int = 300) -> Mixer:

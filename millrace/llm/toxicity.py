@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import arrow_map, held_out, table
+from millrace.llm.common import arrow_map, hash_sample, held_out, table
 
 INSULTS = "idiot moron loser scum trash stupid pathetic worthless disgusting clown dumb jerk fool imbecile bastard".split()
 THREATS = "kill hurt destroy shoot stab burn beat smash strangle murder".split()
@@ -253,8 +253,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, id_c
     """At most ``max_rows`` training rows, in order of a hash of their id: texts and labels 0 or 1."""
     d = F.col(id_col)
     own = (labels.where(d.isNotNull() & F.col(label).isNotNull() & ~held_out(d, 5, 0)).groupBy(d.alias("_id"))
-           .agg((F.max(label) > 0).cast("int").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(max_rows))
-    rows = (docs.select(d.alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(own, F.col("doc_id") == F.col("_id"))
+           .agg((F.max(label) > 0).cast("int").alias("_y")))
+    rows = (docs.select(d.alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(hash_sample(own, "_id", max_rows), F.col("doc_id") == F.col("_id"))
             .orderBy(F.xxhash64("_id"), "_id", "text").limit(max_rows).select("text", "_y").collect())
     return [r.text or "" for r in rows], [r._y for r in rows]
 
