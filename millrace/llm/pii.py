@@ -109,9 +109,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def further_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Candidates of the looser patterns that do not touch a base span."""
     found = []
-    low_at = "at" in text and ("dot" in text or "DOT" in text)
-    if low_at and any(c in text for c in "[({"):
-        found += [(4, *m.span()) for m in SPELLED.finditer(text)]
+    if any(c in text for c in "[({"):
+        low = text.lower()
+        if "at" in low and "dot" in low:
+            found += [(4, *m.span()) for m in SPELLED.finditer(text)]
     if DIGIT.search(text):
         found += [(5, *m.span()) for m in PHONE_LOCAL.finditer(text)]
         found += [(6, *m.span()) for m in ACCOUNT.finditer(text)]

@@ -150,3 +150,8 @@ def test_weak_supervision(spark):
 def test_redaction():
     t = "mail bob@x.org or +44 20 7946 0958."
     assert pii.redact_text(t, [(k, s, e) for k, s, e in pii.base_spans(t)]) == "mail <EMAIL> or <PHONE>."
+
+
+def test_spelled_addresses_in_any_case():
+    for t in ("jane [At] example [Dot] org", "JOHN [AT] EXAMPLE [DOT] COM", "Jane (aT) example (dOt) org", "jane {at} example {dot} org"):
+        assert [(k, s, e) for k, s, e in pii.further_spans(t, [])] == [(4, 0, len(t))]
