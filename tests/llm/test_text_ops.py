@@ -155,3 +155,13 @@ def test_redaction():
 def test_spelled_addresses_in_any_case():
     for t in ("jane [At] example [Dot] org", "JOHN [AT] EXAMPLE [DOT] COM", "Jane (aT) example (dOt) org", "jane {at} example {dot} org"):
         assert [(k, s, e) for k, s, e in pii.further_spans(t, [])] == [(4, 0, len(t))]
+
+
+def test_span_classifier_weighs_by_full_counts(monkeypatch):
+    """Probabilities that no weights fit: the fit depends on the shares of the counts, whatever their size."""
+    votes = [(2, 0, 0, f, a, 2) for f in (0, 2) for a in (0, 1)]
+    codes = [pii.code_of(5, v, 1) for v in votes]
+    monkeypatch.setattr(pii, "expectation", lambda counts: dict(zip(codes, (1.0, 0.0, 0.0, 1.0))))
+    n = (8_000_000, 1_000_000, 1_000_000, 2_000_000)
+    large, small = pii.classify(dict(zip(codes, n))), pii.classify({c: x // 1000 for c, x in zip(codes, n)})
+    assert all(large[c] == pytest.approx(small[c], abs=1e-3) for c in codes)
