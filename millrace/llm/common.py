@@ -51,6 +51,14 @@ def drop_staged(df: DataFrame) -> None:
         _staged[:] = [x for x in _staged if x[1] != path]
 
 
+def keyed(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` staged with a number for each row, and the name of its column."""
+    key = "_row"
+    while key.lower() in {c.lower() for c in df.columns}:
+        key += "_"
+    return stage(df.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import arrow_map, stage, table, text_bytes
+from millrace.llm.common import arrow_map, keyed, stage, table, text_bytes
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -228,6 +228,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: contaminated documents go, all others stay as they are."""
-    bad = judged(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """Pipeline stage: contaminated rows go, all others stay as they are, whatever ids they share."""
+    rows, key = keyed(docs)
+    bad = judged(rows, table(spark, sf_dir, "benchmark"), id_col=key).where("contaminated").select(F.col("doc_id").alias("_bad"))
+    return rows.join(bad, rows[key] == bad["_bad"], "left_anti").drop(key)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.buckets import local_roots, map_buckets, segment_starts, split_hot, spread
-from millrace.llm.common import arrow_map, components, stage, table, text_bytes
+from millrace.llm.common import arrow_map, components, keyed, stage, table, text_bytes
 
 LEAF = 16  # fingerprints in a lowest node
 FAN = 8  # nodes in an upper node
@@ -192,6 +192,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group, the row of the least doc_id stays, once."""
-    found = near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_kept"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    """Pipeline stage: of each group one row stays, that of the least doc_id; a null one comes last."""
+    rows, key = keyed(docs)
+    group = near_duplicates(rows, key).select(F.col("doc_id").alias("_member"), F.col("component_id").alias("_group"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_member").alias("_member"))
+    ids = rows.select(F.col(key).alias("_key"), F.col("doc_id").cast("long").alias("doc_id"))
+    kept = ids.join(group, F.col("_key") == F.col("_member")).groupBy("_group").agg(F.min(order).alias("o")).select(F.col("o._member").alias("_kept"))
+    return rows.join(kept, rows[key] == kept["_kept"], "left_semi").drop(key)

@@ -4,7 +4,7 @@ import __spark_entry__
 import corpus_pipeline
 from millrace.llm import bpe, decontaminate, pii, simhash, toxicity
 from millrace.llm.common import table
-from tests.llm.fixtures import documents, texts
+from tests.llm.fixtures import documents, prose, texts
 
 DATA = "/root/testdata/sf0.001"
 
@@ -39,3 +39,13 @@ def test_stages_keep_columns_and_survive_awkward_rows(spark):
     ids = [r.doc_id for r in simhash.keep_one(spark, docs, DATA).collect()]
     assert {23, 28} <= set(ids) and 20 not in ids and 21 not in ids and ids.count(28) == 1
     assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count() == len(texts())
+
+
+def test_stages_decide_by_row_not_by_id(spark):
+    item = table(spark, DATA, "benchmark").where("length(text) > 200").first().text
+    rows = [(None, item), (None, prose(1, 80)), (None, prose(2, 80)), (7, item), (7, prose(3, 80)), (8, prose(4, 80))]
+    got = decontaminate.drop_contaminated(spark, documents(spark, rows), DATA).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted((str(i), t) for i, t in rows if t != item)
+    rows = [(None, prose(1, 80)), (None, prose(1, 80)), (None, prose(2, 80)), (5, prose(2, 80)), (5, prose(3, 80)), (5, prose(3, 80)), (6, prose(4, 80)), (6, prose(5, 80))]
+    got = simhash.keep_one(spark, documents(spark, rows), DATA).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted([("None", prose(1, 80)), ("5", prose(2, 80)), ("5", prose(3, 80)), ("6", prose(4, 80)), ("6", prose(5, 80))])
