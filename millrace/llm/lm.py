@@ -11,8 +11,8 @@ the score is the logarithm of the product over all decisions.
 
 Counting: each task adds up tables over its texts and sends them as compressed blocks; blocks are
 summed in two rounds, so no task gets more than about the square root of their number. What is
-broadcast has the fixed size of the tables. At most ``mixer_rows`` training texts, first in order of
-a hash of their id, shape the code and the starting weights, and are left out of the counts so that
+broadcast has the fixed size of the tables. All training texts shape the code and are counted; a share of the
+rows, by a hash of id and text, is counted only after the starting weights have been learnt on it, so that
 the weights see unseen text.
 
 Base scores: words are the runs `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, and an end token; counts are
@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import LOWER, SPACE, Poly, arrow_map, groups_of, hash_sample, held_out, joined, mix64, stage, symbols, table, text_bytes, word_bounds
+from millrace.llm.common import LOWER, SPACE, Poly, arrow_map, groups_of, held_out, joined, mix64, stage, symbols, table, text_bytes, word_bounds
 
 END = 256
 ORDERS = (2, 4, 6, 0)  # 0: back to where the word began
@@ -200,22 +200,59 @@ class Mixer:
         return out / math.log(10), w
 
 
-def _sample(train: DataFrame, rows: int) -> list[tuple]:
-    return [(r.doc_id, (r.text or "").encode()) for r in hash_sample(train, "doc_id", rows).collect()]
+def _all_pairs(train: DataFrame) -> np.ndarray:
+    """``pair_counts`` of all texts of (doc_id, text); what reaches the driver is bounded by the alphabet."""
+
+    def count(batches):
+        total = np.zeros((257, 257), np.int64)
+        for b in batches:
+            total += pair_counts(text_bytes(b.column(1)))
+        pair = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int32()), pa.array(total.ravel()[pair])], names=["pair", "n"])
+
+    out = np.zeros(257 * 257, np.int64)
+    for r in train.mapInArrow(count, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        out[r.pair] = r.n
+    return out.reshape(257, 257)
+
+
+def _learn(held: DataFrame, mixer: Mixer, groups: int) -> np.ndarray:
+    """Weights after each of ``groups`` groups of the texts, averaged by their symbols."""
+    model, unit = held.sparkSession.sparkContext.broadcast(mixer), float(1 << 24)
+
+    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
+        texts = sorted((t or "").encode() for t in pdf["text"])
+        texts = [texts[k] for k in np.random.default_rng(0).permutation(len(texts))]
+        n = sum(len(t) + 1 for t in texts)
+        w = model.value.run(texts, model.value.weights, keep=True)[1].ravel()
+        return pd.DataFrame({"i": np.arange(len(w), dtype=np.int32), "s": np.rint(w * unit).astype(np.int64) * n, "n": np.int64(n)})
+
+    group = F.pmod(F.xxhash64(F.lit(1), "doc_id", "text"), F.lit(groups))
+    got = held.groupBy(group).applyInPandas(learn, "i int, s long, n long").groupBy("i").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()
+    out = mixer.weights.copy().ravel()
+    for r in got:
+        out[r.i] = r.s / r.n / unit
+    return out.reshape(mixer.weights.shape)
 
 
 def fit(train: DataFrame, mixer_rows: int = 300) -> Mixer:
-    """Counts over all of ``train`` (doc_id, text) but the mixer's rows."""
+    """Code and counts over all of ``train`` (doc_id, text), starting weights by a share of it.
+
+    One row of 64 (of fewer, for ``mixer_rows`` of them, but two at least), by a hash of id and text, is held
+    back until the weights have been learnt on it in groups of about ``mixer_rows``, and counted then.
+    """
     spark = train.sparkSession
-    own = _sample(train, mixer_rows)
-    code = Code(pair_counts([t for _, t in own]))
-    held, skip = spark.sparkContext.broadcast(code), frozenset(i for i, _ in own)
+    code = Code(_all_pairs(train))
+    n = train.count()
+    share = max(2, min(64, n // max(1, mixer_rows)))
+    back = F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0
+    held = spark.sparkContext.broadcast(code)
 
     def count(batches):
         totals = np.zeros(2 * BASE[-1], np.int32)
         any_ = False
         for b in batches:
-            texts = [t for i, t in zip(b.column(0).to_pylist(), text_bytes(b.column(1))) if i not in skip]
+            texts = text_bytes(b.column(1))
             any_ = any_ or bool(texts)
             add_counts(texts, held.value, totals)
         if any_:
@@ -237,16 +274,22 @@ def fit(train: DataFrame, mixer_rows: int = 300) -> Mixer:
         total = np.frombuffer(zlib.decompress(add(pdf)["data"].iloc[0]), np.int64)
         return pd.DataFrame({"block": pdf["block"].iloc[:1], "data": [odds_of(total).tobytes()]})
 
-    sent = train.mapInArrow(count, "block int, task int, data binary")
-    fan = max(1, math.isqrt(sent.rdd.getNumPartitions()))
-    summed = sent.groupBy("block", F.pmod("task", F.lit(fan)).alias("salt")).applyInPandas(add, "block int, task int, data binary")
-    odds = np.zeros(BASE[-1], np.int8)
-    for r in summed.groupBy("block").applyInPandas(finish, "block int, data binary").collect():  # the fixed size of the tables
-        part = np.frombuffer(r.data, np.int8)[:len(odds) - r.block * CHUNK]
-        odds[r.block * CHUNK:r.block * CHUNK + len(part)] = part
-    mixer = Mixer(code, odds)
-    mixer.weights = mixer.run([t for _, t in own], mixer.weights, keep=True)[1]
-    return mixer
+    def summed(rows: DataFrame) -> DataFrame:
+        sent = rows.mapInArrow(count, "block int, task int, data binary")
+        fan = max(1, math.isqrt(sent.rdd.getNumPartitions()))
+        return sent.groupBy("block", F.pmod("task", F.lit(fan)).alias("salt")).applyInPandas(add, "block int, task int, data binary")
+
+    def odds(sums: DataFrame) -> np.ndarray:
+        out = np.zeros(BASE[-1], np.int8)
+        for r in sums.groupBy("block").applyInPandas(finish, "block int, data binary").collect():  # the fixed size of the tables
+            part = np.frombuffer(r.data, np.int8)[:len(out) - r.block * CHUNK]
+            out[r.block * CHUNK:r.block * CHUNK + len(part)] = part
+        return out
+
+    most = stage(summed(train.where(~back)), "counts")
+    later = stage(train.where(back), "held")
+    weights = _learn(later, Mixer(code, odds(most)), max(1, n // share // max(1, mixer_rows)))
+    return Mixer(code, odds(most.union(summed(later))), weights)
 
 
 def _words(texts: list[bytes]):

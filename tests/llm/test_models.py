@@ -143,3 +143,12 @@ def test_counts_help(spark):
     m = mixer(train)
     blank = lm.Mixer(m.code, np.zeros_like(m.odds))
     assert m.run(test, m.weights)[0].sum() > 0.7 * blank.run(test, blank.weights)[0].sum()
+
+
+def test_all_training_rows_are_counted(spark):
+    """Repeated and null ids included, whatever rows the weights were learnt on."""
+    rows = [(1, t) for _, t in texts()[:8]] + [(None, t) for _, t in texts()[8:14]]
+    every = [(t or "").encode() for _, t in rows]
+    m, want = lm.fit(documents(spark, rows).select("doc_id", "text"), mixer_rows=3), mixer(every)
+    assert (m.code.nodes == want.code.nodes).all() and (m.odds == want.odds).all()
+    assert (m.weights != want.weights).any() and np.isfinite(m.weights).all()
