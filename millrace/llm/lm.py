@@ -1,19 +1,27 @@
 """Language-model scores by online logistic context mixing (operator 3).
 
 A text is its UTF-8 bytes and one end symbol. Symbols are spelled as the binary decisions of a
-Huffman code that goes by the symbol before, and each decision is predicted from several contexts: the last 2, 4 and 6
-symbols and what the word has so far, hashed together with the place in the code into tables of bit counts from the training
-texts. The predictors' log odds are combined by weights that a gate selects (place in the code,
-and whether the two longest contexts are unseen, unsure or sure), and the weights are refined online: after each block of a text
-they take a step along the coding error, from the same start for every text. A block is coded
-with weights that only earlier blocks have touched, so the probabilities are those of a model, and
-the score is the logarithm of the product over all decisions.
+Huffman code that goes by the symbol before, and each decision is predicted from several contexts
+(the last symbols, and what the word has so far), hashed together with the place in the code into
+tables of bit counts from the training texts. The predictors' log odds are combined by weights that
+a gate selects (place in the code, and whether the two longest contexts are unseen, unsure or sure).
+A final adaptive stage corrects the mixed log odds by what decisions of that height turned out to be.
+Weights and corrections are refined online within each text, from its first symbols on: after 32, 96,
+224 ... symbols, then every 2,048, they take a step along the coding error, from the same start for
+every text. A step's symbols are coded with weights that only earlier ones have touched, so the
+probabilities are those of a model. Texts are coded side by side, step by step.
+
+A further predictor grows with the corpus: texts are cut by content (after each four words whose hash
+has ``CUT`` zero bits) into chunks, and each chunk is looked up behind the four words before it among
+the chunks of all training texts, in a table that is never on one machine. What the table has seen c
+times of n costs -log2 of (1 - e) c / n, mixed with e times the bits' probability; the chance e of
+something new is learnt by the size of n. A training row's own chunks are left out of its counts.
 
 Counting: each task adds up tables over its texts and sends them as compressed blocks; blocks are
 summed in two rounds, so no task gets more than about the square root of their number. What is
-broadcast has the fixed size of the tables. All training texts shape the code and are counted; a share of the
-rows, by a hash of id and text, is counted only after the starting weights have been learnt on it, so that
-the weights see unseen text.
+broadcast has the fixed size of the bit tables; the chunk table has one row for each different chunk.
+All training texts shape the code and are counted; a share of the rows, by a hash of id and text, is
+counted only after the starting weights have been learnt on it, so that the weights see unseen text.
 
 Base scores: words are the runs `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, and an end token; counts are
 summed by word hash. The most frequent words, ``frequent`` at most, are broadcast, the
@@ -30,7 +38,6 @@ from __future__ import annotations
 
 import heapq
 import math
-import zlib
 
 import numpy as np
 import pandas as pd
@@ -39,19 +46,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import LOWER, SPACE, Poly, arrow_map, groups_of, held_out, joined, mix64, stage, symbols, table, text_bytes, word_bounds
+from millrace.llm.common import LOWER, SPACE, Poly, arrow_map, drop_staged, groups_of, held_out, joined, mix64, stage, symbols, table, text_bytes, word_bounds
 
 END = 256
-ORDERS = (2, 4, 6, 0)  # 0: back to where the word began
-TABLE_BITS = (20, 21, 21, 22)  # slots of each context's table, as powers of two
+ORDERS = (3, 5, 0)  # 0: back to where the word began
+TABLE_BITS = (21, 21, 22)  # slots of each context's table, as powers of two
 BASE = np.concatenate(([0], np.cumsum([1 << b for b in TABLE_BITS]))).astype(np.int64)
-CHUNK = 1 << 16  # slots of a block that is sent
+BLOCK = 1 << 16  # slots of a block that is sent
 GROUP = 60_000  # bytes handled at once
-STEP = 2048  # symbols between refinements of the weights
+EARLY = np.array([32 * (2**k - 1) for k in range(1, 8)])  # symbols after which the first refinements come
+STEP = 2048  # symbols between later ones
 DEPTHS, SURE = 3, 30  # sure: log odds of two and more
 UNIT = 15  # stored steps of one in log odds
 GATES = 9 * DEPTHS
-RATE = 0.2
+HEIGHTS = 33  # classes of the mixed log odds, half a unit each, in the final stage
+RATE, RATE_FINAL, LEAST_MISS = 0.3, 0.5, 0.02
+CUT = 5  # zero bits of a hash of four words behind which a chunk ends: 32 words on average
+AHEAD = 4  # words that a chunk is looked up by
+START = 0  # what stands before a text's first chunk
 
 
 def _paths(counts: np.ndarray) -> list[list[tuple[int, int]]]:
@@ -91,9 +103,11 @@ class Code:
                 size.append(len(path))
                 nodes += [1024 * k + n for n, _ in path]
                 bits += [b for _, b in path]
-        self.size = np.array(size, np.int32)
+        self.size = np.array(size, np.int64)
         self.start = np.cumsum(self.size) - self.size
-        self.nodes, self.bits = mix64(np.array(nodes, np.uint64)), np.array(bits, np.int64)
+        self.nodes, self.bits = mix64(np.array(nodes, np.uint64)), np.array(bits, np.int8)
+        rank = np.arange(len(bits)) - np.repeat(self.start, self.size)
+        self.depth = np.minimum(rank, DEPTHS - 1).astype(np.int8)
 
 
 def pair_counts(texts: list[bytes]) -> np.ndarray:
@@ -113,41 +127,52 @@ def _symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, starts
 
 
+def steps_of(place: np.ndarray) -> np.ndarray:
+    """How many refinements come before each place of a text."""
+    return np.where(place < EARLY[-1], np.searchsorted(EARLY, place, "right"), len(EARLY) + (place - EARLY[-1]) // STEP).astype(np.uint16)
+
+
 class Decisions:
-    """All decisions of some texts: slots by context, outcomes, places, and where symbols start."""
+    """All decisions of some texts: slots by context, outcomes, places.
+
+    Symbols are taken step by step, and text by text within a step: those of step k are
+    ``order[cuts[k]:cuts[k + 1]]``, symbol ``order[i]`` has the decisions ``at[i]`` to ``at[i + 1]``.
+    """
 
     def __init__(self, texts: list[bytes], code: Code) -> None:
-        s, starts = _symbols(texts)
-        self.starts = starts
-        spelled = 257 * code.which[np.concatenate(([END], s[:-1]))] + s  # the end of the text before counts as the symbol before
-        size = code.size[spelled]
-        self.at = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
-        owner = np.repeat(np.arange(len(s)), size)
-        rank = np.arange(len(owner)) - self.at.take(owner, mode="clip")
-        flat = code.start[spelled].take(owner, mode="clip") + rank
-        node = code.nodes.take(flat, mode="clip")
-        self.bit = code.bits.take(flat, mode="clip")
+        self.s, self.starts = s, starts = _symbols(texts)
         place = np.arange(len(s))
-        first = np.repeat(starts[:-1], np.diff(starts))
+        self.doc = np.repeat(np.arange(len(texts)), np.diff(starts))
+        first = starts[:-1][self.doc]
+        step = steps_of(place - first)
+        self.order = np.argsort(step, kind="stable")
+        self.cuts = np.concatenate(([0], np.cumsum(np.bincount(step))))
         space = np.concatenate(([False], SPACE[s[:-1]]))
         word = np.maximum(np.maximum.accumulate(np.where(space, place, 0)), first)
-        poly = Poly(symbols(s))
+        spelled = (257 * code.which[np.concatenate(([END], s[:-1]))] + s)[self.order]  # the end of the text before counts as the symbol before
+        self.size = code.size[spelled]
+        self.at = np.concatenate(([0], np.cumsum(self.size)))
+        flat = np.repeat(code.start[spelled] - self.at[:-1], self.size)
+        flat += np.arange(len(flat))
+        node = code.nodes.take(flat, mode="clip")
+        self.bit = code.bits.take(flat, mode="clip")
+        self.depth = code.depth.take(flat, mode="clip")
+        self.poly = Poly(symbols(s))
         self.slots = []
         for order, bits in zip(ORDERS, TABLE_BITS):
-            h = poly.slices(np.maximum(first, place - order) if order else word, place).take(owner, mode="clip")
+            h = np.repeat(self.poly.slices(np.maximum(first, place - order) if order else word, place)[self.order], self.size)
             h ^= node
             h >>= np.uint64(64 - bits)
             self.slots.append(h.view(np.int64))
-        self.depth = np.minimum(rank, DEPTHS - 1)
 
 
 def gates(depth: np.ndarray, long: np.ndarray, word: np.ndarray) -> np.ndarray:
     """Place in the code, and whether the two longest contexts are unseen, unsure or sure."""
-    sure = []
-    for x in (long, word):
+    out = depth * np.int8(9)
+    for x, n in ((long, np.int8(3)), (word, np.int8(1))):
         a = np.abs(x)
-        sure.append((a > 0).view(np.int8) + (a > SURE).view(np.int8))
-    return depth * 9 + (sure[0] * np.int8(3) + sure[1])
+        out += ((a > 0).view(np.int8) + (a > SURE).view(np.int8)) * n
+    return out
 
 
 def add_counts(texts: list[bytes], code: Code, totals: np.ndarray) -> None:
@@ -155,7 +180,9 @@ def add_counts(texts: list[bytes], code: Code, totals: np.ndarray) -> None:
     for lo, hi in groups_of(texts, GROUP):
         d = Decisions(texts[lo:hi], code)
         for slots, base, bits in zip(d.slots, BASE, TABLE_BITS):
-            np.add.at(totals[2 * base:2 * base + (2 << bits)], 2 * slots + d.bit, totals.dtype.type(1))
+            slots <<= 1
+            slots += d.bit
+            np.add.at(totals[2 * base:2 * base + (2 << bits)], slots, totals.dtype.type(1))
 
 
 def odds_of(totals: np.ndarray) -> np.ndarray:
@@ -164,40 +191,96 @@ def odds_of(totals: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(np.log(n[:, 1] / n[:, 0]) * UNIT), -127, 127).astype(np.int8)
 
 
+def chunks_of(d: Decisions) -> tuple[np.ndarray, ...]:
+    """(doc, first symbol, context, content) of the chunks, in order."""
+    data = np.where(d.s == END, 32, d.s).astype(np.uint8)
+    lo, hi = word_bounds(data)
+    starts = d.starts[:-1]
+    cut, context = starts, np.full(len(starts), START, np.uint64)
+    if len(lo) >= AHEAD:
+        words = Poly(d.poly.slices(lo, hi), 0x9FB21C651E98DF25)
+        i = np.arange(len(lo) - AHEAD + 1)
+        h = words.slices(i, i + AHEAD)
+        ends = (h >> np.uint64(64 - CUT) == 0) & (d.doc[lo[i]] == d.doc[lo[i + AHEAD - 1]])
+        cut = np.concatenate((cut, hi[i + AHEAD - 1][ends]))
+        context = np.concatenate((context, h[ends] | np.uint64(1)))
+        by = np.argsort(cut, kind="stable")
+        cut, context = cut[by], context[by]
+    return d.doc[cut], cut, context, d.poly.slices(cut, np.append(cut[1:], len(d.s)))
+
+
 class Mixer:
-    """Tables of log odds and the gates' starting weights."""
+    """Tables of log odds, and what every text starts with: the gates' weights and the final corrections."""
 
-    def __init__(self, code: Code, odds: np.ndarray, weights: np.ndarray | None = None) -> None:
+    def __init__(self, code: Code, odds: np.ndarray, weights: np.ndarray | None = None, final: np.ndarray | None = None) -> None:
         self.code, self.odds = code, odds
-        self.weights = np.full((len(ORDERS), GATES), 0.35 / UNIT, np.float32) if weights is None else weights
-
-    def run(self, texts: list[bytes], weights: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability of each text, and the weights after the last; ``keep`` carries them on between texts."""
-        out = np.zeros(len(texts))
-        w = weights.copy()
+        self.weights = np.full((len(ORDERS), GATES), 0.4 / UNIT, np.float32) if weights is None else weights
+        self.final = np.zeros(HEIGHTS, np.float32) if final is None else final
+
+    def costs(self, d: Decisions) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Natural logarithm of each decision's probability; the texts' weights and corrections after their last symbol; gates."""
+        n = len(d.starts) - 1
+        odds = [self.odds[base:].take(x, mode="clip") for x, base in zip(d.slots, BASE)]
+        gate = gates(d.depth, odds[-2], odds[-1])
+        doc = np.repeat(d.doc[d.order], d.size)
+        own_gate = doc * GATES + gate
+        doc *= HEIGHTS
+        odds = [x.astype(np.float32) for x in odds]
+        sign = d.bit.astype(np.float32)
+        sign += sign
+        sign -= 1
+        w, final = np.tile(self.weights, (1, n)), np.tile(self.final, n)
+        out = np.empty(len(sign), np.float32)
+        for k in range(len(d.cuts) - 1):
+            i, j = d.at[d.cuts[k]], d.at[d.cuts[k + 1]]
+            g, own, sg = own_gate[i:j], [x[i:j] for x in odds], sign[i:j]
+            x = w[0].take(g, mode="clip") * own[0]
+            for c in range(1, len(own)):
+                x += w[c].take(g, mode="clip") * own[c]
+            np.clip(x, -8, 8, out=x)
+            cell = (x * 2 + 16.5).astype(np.int64)
+            cell += doc[i:j]
+            x += final.take(cell, mode="clip")
+            x *= sg
+            p = 1 / (1 + np.exp(-x))
+            out[i:j] = np.log(p)
+            if k == len(d.cuts) - 2 and n == 1:
+                break
+            miss = 1 - p
+            big = np.flatnonzero(miss > LEAST_MISS)
+            if not len(big):
+                continue
+            miss = miss[big] * sg[big]
+            gb, cb = g[big], cell[big]
+            many = np.bincount(g, minlength=n * GATES) + 20.0
+            for c in range(len(own)):
+                w[c] += (RATE / UNIT**2 * np.bincount(gb, miss * own[c][big], n * GATES) / many).astype(np.float32)
+            final += (RATE_FINAL * np.bincount(cb, miss, n * HEIGHTS) / (np.bincount(cell, minlength=n * HEIGHTS) + 30.0)).astype(np.float32)
+        return out, w, final, gate
+
+    def run(self, texts: list[bytes]) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
+        """log10 probability of each text, and for each group of texts (doc, context, content, log10 probability) of its chunks."""
+        out, chunks = np.zeros(len(texts)), []
+        for lo, hi in groups_of(texts, GROUP):
+            d = Decisions(texts[lo:hi], self.code)
+            cost = np.empty(len(d.s))
+            cost[d.order] = np.add.reduceat(self.costs(d)[0], d.at[:-1], dtype=np.float64)
+            cost /= math.log(10)
+            out[lo:hi] = np.add.reduceat(cost, d.starts[:-1])
+            doc, cut, context, content = chunks_of(d)
+            chunks.append((doc + lo, context, content, np.add.reduceat(cost, cut)))
+        return out, chunks
+
+    def learn(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Starting weights and corrections after some texts: group by group, the mean of what its texts end with."""
+        m = Mixer(self.code, self.odds, self.weights.copy(), self.final.copy())
         for lo, hi in groups_of(texts, GROUP):
             d = Decisions(texts[lo:hi], self.code)
-            s = [self.odds[base:].take(x, mode="clip") for x, base in zip(d.slots, BASE)]
-            gate = gates(d.depth, s[-2], s[-1])
-            sign = (2 * d.bit - 1).astype(np.float32)
-            for k in range(hi - lo):
-                if not keep:
-                    w = weights.copy()
-                for a in range(d.starts[k], d.starts[k + 1], STEP):
-                    i, j = d.at[a], d.at[min(a + STEP, d.starts[k + 1])]
-                    g, own = gate[i:j], [x[i:j] for x in s]
-                    x = w[0].take(g, mode="clip") * own[0]
-                    for c in range(1, len(own)):
-                        x += w[c].take(g, mode="clip") * own[c]
-                    np.clip(x, -12, 12, out=x)
-                    x *= sign[i:j]
-                    e = np.exp(-x)
-                    out[lo + k] -= np.log1p(e).sum(dtype=np.float64)
-                    miss = sign[i:j] * (e / (1 + e))
-                    n = np.bincount(g, minlength=GATES) + 50.0
-                    for c in range(len(own)):
-                        w[c] += (RATE / UNIT**2 * np.bincount(g, miss * own[c], GATES) / n).astype(np.float32)
-        return out / math.log(10), w
+            _, w, final, _ = m.costs(d)
+            share = np.diff(d.starts) / len(d.s)
+            m.weights = (w.reshape(len(ORDERS), -1, GATES) * share[None, :, None]).sum(axis=1).astype(np.float32)
+            m.final = (final.reshape(-1, HEIGHTS) * share[:, None]).sum(axis=0).astype(np.float32)
+        return m.weights, m.final
 
 
 def _all_pairs(train: DataFrame) -> np.ndarray:
@@ -216,23 +299,32 @@ def _all_pairs(train: DataFrame) -> np.ndarray:
     return out.reshape(257, 257)
 
 
-def _learn(held: DataFrame, mixer: Mixer, groups: int) -> np.ndarray:
-    """Weights after each of ``groups`` groups of the texts, averaged by their symbols."""
+def _learn(held: DataFrame, mixer: Mixer, groups: int) -> Mixer:
+    """The mixer with the starting weights and corrections after each of ``groups`` groups of the texts, averaged by their symbols."""
     model, unit = held.sparkSession.sparkContext.broadcast(mixer), float(1 << 24)
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         texts = sorted((t or "").encode() for t in pdf["text"])
         texts = [texts[k] for k in np.random.default_rng(0).permutation(len(texts))]
         n = sum(len(t) + 1 for t in texts)
-        w = model.value.run(texts, model.value.weights, keep=True)[1].ravel()
+        w = np.concatenate([x.ravel() for x in model.value.learn(texts)])
         return pd.DataFrame({"i": np.arange(len(w), dtype=np.int32), "s": np.rint(w * unit).astype(np.int64) * n, "n": np.int64(n)})
 
     group = F.pmod(F.xxhash64(F.lit(1), "doc_id", "text"), F.lit(groups))
     got = held.groupBy(group).applyInPandas(learn, "i int, s long, n long").groupBy("i").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()
-    out = mixer.weights.copy().ravel()
+    model.unpersist()
+    out = np.concatenate((mixer.weights.ravel(), mixer.final))
     for r in got:
         out[r.i] = r.s / r.n / unit
-    return out.reshape(mixer.weights.shape)
+    return Mixer(mixer.code, mixer.odds, out[:-HEIGHTS].reshape(mixer.weights.shape), out[-HEIGHTS:])
+
+
+def _pack(counts: np.ndarray) -> bytes:
+    return pa.compress(counts.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, 16 * BLOCK, codec="zstd"), np.int64)
 
 
 def fit(train: DataFrame, mixer_rows: int = 300) -> Mixer:
@@ -257,22 +349,23 @@ def fit(train: DataFrame, mixer_rows: int = 300) -> Mixer:
             add_counts(texts, held.value, totals)
         if any_:
             task = TaskContext.get().partitionId()
-            for k in range(0, len(totals), 2 * CHUNK):
-                part = totals[k:k + 2 * CHUNK]
+            for k in range(0, len(totals), 2 * BLOCK):
+                part = totals[k:k + 2 * BLOCK]
                 if part.any():
-                    yield pa.RecordBatch.from_pydict({"block": [k // (2 * CHUNK)], "task": [task], "data": [zlib.compress(part.astype(np.int64).tobytes(), 1)]},
+                    yield pa.RecordBatch.from_pydict({"block": [k // (2 * BLOCK)], "task": [task], "data": [_pack(part.astype(np.int64))]},
                                                      schema=pa.schema([("block", pa.int32()), ("task", pa.int32()), ("data", pa.binary())]))
 
+    def total_of(parts) -> np.ndarray:
+        total = np.zeros(2 * BLOCK, np.int64)
+        for x in parts:
+            total += _unpack(x)
+        return total
+
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(2 * CHUNK, np.int64)
-        for x in pdf["data"]:
-            part = np.frombuffer(zlib.decompress(x), np.int64)
-            total[:len(part)] += part
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "task": pdf["task"].iloc[:1], "data": [zlib.compress(total.tobytes(), 1)]})
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "task": pdf["task"].iloc[:1], "data": [_pack(total_of(pdf["data"]))]})
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.frombuffer(zlib.decompress(add(pdf)["data"].iloc[0]), np.int64)
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "data": [odds_of(total).tobytes()]})
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "data": [odds_of(total_of(pdf["data"])).tobytes()]})
 
     def summed(rows: DataFrame) -> DataFrame:
         sent = rows.mapInArrow(count, "block int, task int, data binary")
@@ -282,14 +375,17 @@ def fit(train: DataFrame, mixer_rows: int = 300) -> Mixer:
     def odds(sums: DataFrame) -> np.ndarray:
         out = np.zeros(BASE[-1], np.int8)
         for r in sums.groupBy("block").applyInPandas(finish, "block int, data binary").collect():  # the fixed size of the tables
-            part = np.frombuffer(r.data, np.int8)[:len(out) - r.block * CHUNK]
-            out[r.block * CHUNK:r.block * CHUNK + len(part)] = part
+            out[r.block * BLOCK:(r.block + 1) * BLOCK] = np.frombuffer(r.data, np.int8)
         return out
 
     most = stage(summed(train.where(~back)), "counts")
     later = stage(train.where(back), "held")
-    weights = _learn(later, Mixer(code, odds(most)), max(1, n // share // max(1, mixer_rows)))
-    return Mixer(code, odds(most.union(summed(later))), weights)
+    learnt = _learn(later, Mixer(code, odds(most)), max(1, n // share // max(1, mixer_rows)))
+    out = Mixer(code, odds(most.union(summed(later))), learnt.weights, learnt.final)
+    held.unpersist()
+    drop_staged(most)
+    drop_staged(later)
+    return out
 
 
 def _words(texts: list[bytes]):
@@ -325,9 +421,48 @@ def _most_frequent(counts: DataFrame, limit: int) -> DataFrame:
     return counts.where(F.lit(False) if cut is None else step >= cut)
 
 
+def _repeats(doc: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """How often each row's keys occur in its document."""
+    h = doc.astype(np.uint64)
+    for k in keys:
+        h = mix64(h ^ k)
+    _, at, n = np.unique(h, return_inverse=True, return_counts=True)
+    return n[at]
+
+
+def _with_chunks(rows: DataFrame, n_texts: int) -> DataFrame:
+    """(row, chunk_score): log10 probabilities of the staged rows' chunks, bits mixed with the corpus's chunk table.
+
+    ``rows`` has row, held_out and chunks array<struct<context, content, cost, own_c, own_n>>.
+    """
+    chunks = rows.select("row", "held_out", F.inline("chunks"))
+    seen = stage(chunks.where("not held_out").groupBy("context", "content").agg(F.count(F.lit(1)).alias("c")), "seen")
+    total = seen.where(F.col("context") != START).groupBy(F.col("context").alias("_x")).agg(F.sum("c").alias("n"))
+    known = seen.select(F.col("context").alias("_context"), F.col("content").alias("_content"), "c")
+    found = chunks.join(known, (F.col("context") == F.col("_context")) & (F.col("content") == F.col("_content")), "left")
+    # every text has a first chunk: their number is known, and no join meets on it
+    first = found.where(F.col("context") == START).withColumn("n", F.lit(n_texts).cast("long"))
+    later = found.where(F.col("context") != START).join(total, F.col("context") == F.col("_x"), "left").drop("_x")
+
+    def less(total: str, own: str):
+        return (F.coalesce(total, F.lit(0)) - F.when(F.col("held_out"), 0).otherwise(F.col(own))).cast("double")
+
+    both = first.unionByName(later)
+    pairs = stage(both.select("row", "cost", less("c", "own_c").alias("c"), less("n", "own_n").alias("n")), "chunks")
+    size = F.least(F.floor(F.log2("n")), F.lit(9)).cast("int")
+    fresh = {r.size: (r.t - r.h + 0.5) / (r.t + 1) for r in pairs.where("n > 0").groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("t"), F.count_if(F.col("c") > 0).alias("h")).collect()}
+    e = F.element_at(F.create_map(*[F.lit(x) for k in range(10) for x in (k, float(fresh.get(k, 0.5)))]), size)
+    score = (F.when(F.col("n") <= 0, F.col("cost")).when(F.col("c") <= 0, F.log10(e) + F.col("cost"))
+             .otherwise(F.log10((1 - e) * F.col("c") / F.col("n") + e * F.pow(F.lit(10.0), "cost"))))
+    return pairs.groupBy("row").agg(F.sum(score).alias("chunk_score"))
+
+
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, remainder: int = 2,
            mixer_rows: int = 300, frequent: int = 1 << 17) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of each row."""
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte, bit_score) of each row.
+
+    ``bit_score`` is what the bit predictors alone give, ``score`` has the chunk table mixed in.
+    """
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     own = own.withColumn("held_out", held_out(F.col("doc_id"), modulus, remainder))
@@ -339,34 +474,45 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modu
     n_all, n_kinds = total.n + ends, total.v + (ends > 0)
     top = _most_frequent(counts, frequent).toPandas().sort_values("h")
     known = spark.sparkContext.broadcast((top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64)))
+    chunk = pa.struct([("context", pa.int64()), ("content", pa.int64()), ("cost", pa.float64()), ("own_c", pa.int32()), ("own_n", pa.int32())])
 
     def one(b: pa.RecordBatch) -> dict:
         texts = text_bytes(b.column(1))
         keys, values = known.value
-        score = mixer.value.run(texts, mixer.value.weights)[0]
+        score, groups = mixer.value.run(texts)
+        doc, context, content, cost = (np.concatenate(x) for x in zip(*groups))
+        parts = pa.StructArray.from_arrays([pa.array(context.view(np.int64)), pa.array(content.view(np.int64)), pa.array(cost),
+                                            pa.array(_repeats(doc, context, content).astype(np.int32)), pa.array(_repeats(doc, context).astype(np.int32))], fields=list(chunk))
+        chunks = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32)), parts)
         n = np.zeros(len(texts), np.int64)
         sums, hits, rare = np.zeros(len(texts)), np.zeros(len(texts), np.int64), []
-        for lo, hi, doc, h in _words(texts):
-            n[lo:hi] = np.bincount(doc, minlength=hi - lo)
+        for lo, hi, owner, h in _words(texts):
+            n[lo:hi] = np.bincount(owner, minlength=hi - lo)
             at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
             found = keys[at] == h if len(keys) else np.zeros(len(h), bool)
-            sums[lo:hi] = np.bincount(doc[found], np.log10(values[at[found]] + 1.0), hi - lo)
-            hits[lo:hi] = np.bincount(doc[found], minlength=hi - lo)
-            left, d = h[~found], doc[~found]
+            sums[lo:hi] = np.bincount(owner[found], np.log10(values[at[found]] + 1.0), hi - lo)
+            hits[lo:hi] = np.bincount(owner[found], minlength=hi - lo)
+            left, d = h[~found], owner[~found]
             rare += np.split(left, np.searchsorted(d, np.arange(1, hi - lo)))
         return {"doc_id": b.column(0), "held_out": b.column(2), "n": pa.array(n), "score": pa.array(score), "bytes": pa.array([len(t) for t in texts], pa.int64()),
-                "sums": pa.array(sums), "hits": pa.array(hits), "rare": pa.array(rare, pa.list_(pa.int64()))}
+                "sums": pa.array(sums), "hits": pa.array(hits), "rare": pa.array(rare, pa.list_(pa.int64())), "chunks": chunks}
 
-    schema = f"doc_id {own.schema['doc_id'].dataType.simpleString()}, held_out boolean, n long, score double, bytes long, sums double, hits long, rare array<long>"
+    schema = (f"doc_id {own.schema['doc_id'].dataType.simpleString()}, held_out boolean, n long, score double, bytes long, sums double, hits long, rare array<long>, "
+              "chunks array<struct<context:long,content:long,cost:double,own_c:int,own_n:int>>")
     rows = stage(arrow_map(own, one, schema, ["doc_id", "text", "held_out"]).withColumn("row", F.monotonically_increasing_id()), "scored")
-    rest = (rows.select("row", F.explode("rare").alias("h")).join(counts, "h").groupBy(F.col("row").alias("_row"))
-            .agg(F.sum(F.log10(F.col("c") + 1)).alias("more"), F.count(F.lit(1)).alias("n_more")))
-    both = rows.join(rest, F.col("row") == F.col("_row"), "left")
+    mixer.unpersist()
+    known.unpersist()
+    rest = (rows.select("row", F.explode("rare").alias("h")).join(counts, "h")
+            .select("row", F.log10(F.col("c") + 1).alias("more"), F.lit(1).alias("n_more"), F.lit(0.0).alias("chunk_score")))
+    more = (_with_chunks(rows, ends).select("row", F.lit(0.0).alias("more"), F.lit(0).alias("n_more"), "chunk_score").union(rest.select("row", "more", "n_more", "chunk_score"))
+            .groupBy(F.col("row").alias("_row")).agg(F.sum("more").alias("more"), F.sum("n_more").alias("n_more"), F.sum("chunk_score").alias("chunk_score")))
+    both = rows.drop("rare", "chunks").join(more, F.col("row") == F.col("_row"), "left")
     tokens = F.col("n") + 1
     base = F.col("sums") + F.coalesce("more", F.lit(0.0)) + math.log10(ends + 1) - tokens * math.log10(n_all + n_kinds + 1)
     return both.select("doc_id", "held_out", tokens.alias("n_tokens"),
                        (F.col("hits") + F.coalesce("n_more", F.lit(0)) + F.lit(int(ends > 0))).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
-                       base.alias("base_score"), "score", (-F.col("score") / math.log10(2) / F.greatest("bytes", F.lit(1))).alias("bits_per_byte"))
+                       base.alias("base_score"), F.col("chunk_score").alias("score"),
+                       (-F.col("chunk_score") / math.log10(2) / F.greatest("bytes", F.lit(1))).alias("bits_per_byte"), F.col("score").alias("bit_score"))
 
 
 def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

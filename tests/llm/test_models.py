@@ -115,26 +115,40 @@ def mixer(sample):
 def test_what_may_come_next_sums_to_one():
     """Over the end and every next byte, with the weights that stand at that place."""
     m = mixer([(t or "").encode() for _, t in texts()[:6]])
+    m.final = np.linspace(-0.3, 0.5, lm.HEIGHTS).astype(np.float32)
 
     def chance(text, place):
         d = lm.Decisions([text], m.code)
         i, j = d.at[place], d.at[place + 1]
         s = np.stack([m.odds[base:].take(x[i:j]) for x, base in zip(d.slots, lm.BASE)])
-        x = (m.weights[:, lm.gates(d.depth[i:j], s[-2], s[-1])] * s).sum(axis=0) * (2 * d.bit[i:j] - 1)
+        x = (m.weights[:, lm.gates(d.depth[i:j], s[-2], s[-1])] * s).sum(axis=0).clip(-8, 8)
+        x = (x + m.final[(x * 2 + 16.5).astype(int)]) * (2 * d.bit[i:j] - 1)
         return np.prod(1 / (1 + np.exp(-x.astype(float))))
 
     for head in (b"", b"an er", b"the ", b"\xc3"):
         total = chance(head, len(head)) + sum(chance(head + bytes([c]), len(head)) for c in range(256))
         assert total == pytest.approx(1, abs=1e-5)
     text = b"an er the"
-    assert m.run([text], m.weights)[0][0] == pytest.approx(sum(math.log10(chance(text, k)) for k in range(len(text) + 1)), rel=1e-5)
+    assert m.run([text])[0][0] == pytest.approx(sum(math.log10(chance(text, k)) for k in range(len(text) + 1)), rel=1e-4)
 
 
 def test_online_weights_see_only_the_past():
     m = mixer([(t or "").encode() for _, t in texts()[:8]])
     a = (texts()[3][1] * 20).encode()
-    whole = m.run([a, b"other", a], m.weights)[0]
-    assert whole[0] == pytest.approx(whole[2]) and m.run([a], m.weights)[0][0] == pytest.approx(whole[0])
+    whole = m.run([a, b"other", a])[0]
+    assert whole[0] == pytest.approx(whole[2]) and m.run([a])[0][0] == pytest.approx(whole[0])
+    cost = lambda t: m.costs(d := lm.Decisions([t], m.code))[0][:d.at[np.searchsorted(lm.steps_of(np.arange(len(t) + 1)), 2)]]
+    assert (cost(a) == cost(a[:200] + b"quite another end" * 40)).all()
+
+
+def test_short_texts_are_refined(monkeypatch):
+    """Texts of some hundred bytes: weights that move after 32 symbols cost fewer bits than fixed ones."""
+    sample = [(t or "").encode() for _, t in texts()[:12]]
+    m, short = mixer(sample), [t[:600] for t in sample[6:]]
+    moved = m.run(short)[0].sum()
+    monkeypatch.setattr(lm, "RATE", 0.0)
+    monkeypatch.setattr(lm, "RATE_FINAL", 0.0)
+    assert moved > m.run(short)[0].sum()
 
 
 def test_counts_help(spark):
@@ -142,7 +156,40 @@ def test_counts_help(spark):
     train, test = [r.text.encode() for r in rows[:250]], [r.text.encode() for r in rows[250:]]
     m = mixer(train)
     blank = lm.Mixer(m.code, np.zeros_like(m.odds))
-    assert m.run(test, m.weights)[0].sum() > 0.7 * blank.run(test, blank.weights)[0].sum()
+    assert m.run(test)[0].sum() > 0.7 * blank.run(test)[0].sum()
+
+
+def chunked(text):
+    """Chunks as the docstring has them: (four words before or None, content with the end)."""
+    words = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)]
+    cuts, ahead = [0], [None]
+    for k in range(3, len(words)):
+        poly = lm.Poly(lm.Poly(lm.symbols(np.frombuffer(text, np.uint8))).slices(*map(np.array, zip(*words[k - 3:k + 1]))), 0x9FB21C651E98DF25)
+        if int(poly.slices(np.array([0]), np.array([4]))[0]) >> (64 - lm.CUT) == 0:
+            cuts.append(words[k][1])
+            ahead.append(tuple(text[a:b] for a, b in words[k - 3:k + 1]))
+    return list(zip(ahead, [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)])], [False] * (len(cuts) - 1) + [True]))
+
+
+def test_chunk_table_against_brute_force(spark):
+    rows = [(i, t) for i, t in texts() if t is None or len(t) < 9000]
+    out = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in rows]
+    own = [chunked((t or "").encode()) for _, t in rows]
+    c = Counter(x for x, h in zip(own, out) if not h for x in x)
+    n = Counter(x[0] for x, h in zip(own, out) if not h for x in x)
+    got = {(r.doc_id, r.bytes): r for r in lm.scores(documents(spark, rows), mixer_rows=3).withColumn("bytes", F.round(F.col("bit_score"), 6)).collect()}
+    assert len({k[0] for k in got}) > 20 and sum(len(x) > 1 for x in own) > 5
+    seen = 0
+    for (i, _), x, h in zip(rows, own, out):
+        mine, ctx = Counter(x), Counter(y[0] for y in x)
+        hit = [c[y] - (0 if h else mine[y]) > 0 for y in x]
+        r = next(v for k, v in got.items() if k[0] == i)
+        if all(n[y[0]] - (0 if h else ctx[y[0]]) <= 0 for y in x):
+            assert r.score == pytest.approx(r.bit_score)
+        if all(hit):
+            seen += 1
+            assert r.score > 0.5 * r.bit_score or r.score > -3
+    assert seen >= 2  # the copies
 
 
 def test_all_training_rows_are_counted(spark):
