@@ -9,9 +9,12 @@ none fits, the position is dead and the token before it gives way. Compatible ne
 along are what merging by rank yields, and the valid encoding of a prefix is unique, so each
 position is left at most once: linear time. Compatibility is memoised by pair.
 
-Text between two single spaces is encoded by itself (a pattern match never spans "non-space,
-space, non-space" other than from that space on); results of matches are memoised too. Both
-memos have a fixed size. Decoding joins the bytes of the ids.
+Where the pattern allows it, text between two single spaces is encoded by itself (a match of the
+public pattern never spans "non-space, space, non-space" other than from that space on); any other
+pattern runs over whole texts. Results of matches are memoised too. Both memos have a fixed size in
+bytes and are dropped at the end of each partition. Decoding joins the bytes of the ids.
+
+The vocabulary is read by each worker: a path, or None for the public one wherever it is installed.
 
 Defined cases: null counts as empty and has no ids; invalid ids raise in ``decode``; null ids
 decode to null; repeated rows stay repeated; other columns are ignored, whatever their names.
@@ -21,7 +24,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from itertools import chain
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -32,11 +35,13 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import arrow_map, table
 
-MEMO = 250_000
+MEMO = 100_000  # matches in one of the two generations, of at most SHORT characters each
+SHORT = 24
+PAIRS = 1 << 18  # pairs of tokens whose compatibility is held, in 9 bytes each
 #: white space other than the space, by either reading of \\s
 GAPS = frozenset(c for c in map(chr, range(0x3001)) if c != " " and (c.isspace() or regex.match(r"\s", c)))
-Encoded = tuple[int, str, bytes]  # number of ids, ids as text, their bytes
-_coders: dict[tuple[str, str], Coder] = {}
+Encoded = tuple[int, ...]
+_coders: dict[tuple[str | None, str | None], Coder] = {}
 
 
 def default_tokenizer() -> tuple[str, str]:
@@ -46,19 +51,26 @@ def default_tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def coder(path: str, pattern: str) -> Coder:
-    """One coder a process for each vocabulary."""
+def coder(path: str | None = None, pattern: str | None = None) -> Coder:
+    """One coder a process for each vocabulary; None stands for the public path or pattern of this machine."""
     if (path, pattern) not in _coders:
-        _coders[path, pattern] = Coder(path, pattern)
+        _coders[path, pattern] = Coder(*(x or y for x, y in zip((path, pattern), default_tokenizer() if not (path and pattern) else ("", ""))))
     return _coders[path, pattern]
 
 
+def release() -> None:
+    """Drop what the coders of this process have memoised."""
+    for c in _coders.values():
+        c.forget()
+
+
 class Coder:
     def __init__(self, path: str, pattern: str) -> None:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.bytes = {i: t for t, i in self.ranks.items()}
         self.pattern = regex.compile(pattern)
+        self.by_spaces = pattern == default_tokenizer()[1]
         self.automaton = ahocorasick.Automaton()
         for t, i in self.ranks.items():
             self.automaton.add_word(t.decode("latin-1"), i)
@@ -71,7 +83,12 @@ class Coder:
                 if (s := self.ranks.get(t[:n])) is not None:
                     self.shorter[i] = s
                     break
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.text = [str(i) for i in range(len(self.size))]
+        self.forget()
+
+    def forget(self) -> None:
+        #: of pair (a, b) at a place that its ids give: 2 * (a << 32 | b), and 1 if compatible
+        self.pairs = array("q", [-1]) * PAIRS
         #: what matches encode to, in two generations
         self.memo: dict[str, Encoded] = {}
         self.older: dict[str, Encoded] = {}
@@ -86,19 +103,19 @@ class Coder:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
-    def compatible(self, pair: tuple[int, int]) -> bool:
-        if len(self.pairs) >= MEMO:
-            self.pairs.clear()
-        a, b = pair
-        known = self.pairs[pair] = self.merged(self.bytes[a] + self.bytes[b]) == [a, b]
-        return known
+    def compatible(self, a: int, b: int) -> bool:
+        at, key = (a * 40503 ^ b) % PAIRS, a << 33 | b << 1
+        known = self.pairs[at]
+        if known >> 1 != key >> 1:
+            known = self.pairs[at] = key | (self.merged(self.bytes[a] + self.bytes[b]) == [a, b])
+        return bool(known & 1)
 
     def encode_match(self, data: bytes) -> list[int]:
         """The ids of one match of the pattern."""
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        n, size, shorter, known = len(data), self.size, self.shorter, self.pairs.get
+        n, size, shorter, compatible = len(data), self.size, self.shorter, self.compatible
         longest = [-1] * (n + 1)
         for end, i in self.automaton.iter(data.decode("latin-1")):
             longest[end - size[i] + 1] = i  # ends grow, so the longest comes last
@@ -107,12 +124,8 @@ class Coder:
         at, t, before = 0, longest[0], -1
         while at < n:
             while t >= 0:
-                if not dead[at + size[t]]:
-                    if before < 0:
-                        break
-                    ok = known((before, t))
-                    if ok or ok is None and self.compatible((before, t)):
-                        break
+                if not dead[at + size[t]] and (before < 0 or compatible(before, t)):
+                    break
                 t = shorter[t]
             if t < 0:
                 dead[at] = 1
@@ -130,13 +143,10 @@ class Coder:
     def _match(self, m: str) -> Encoded:
         got = self.older.pop(m, None)
         if got is None:
-            ids = self.encode_match(m.encode())
-            got = (len(ids), " ".join(map(str, ids)), self.decode(ids))
-        if len(m) <= 64:
+            got = tuple(self.encode_match(m.encode()))
+        if len(m) <= SHORT:
             if len(self.memo) >= MEMO:
-                self.older.clear()
-                self.older.update(self.memo)
-                self.memo.clear()
+                self.older, self.memo = self.memo, {}
             self.memo[m] = got
         return got
 
@@ -144,33 +154,37 @@ class Coder:
         """The text cut before each single space that stands between two characters other than white space."""
         if not text:
             return []
+        if not self.by_spaces:
+            return [text]
         if not (text[0] in GAPS or text[-1] in GAPS or "  " in text or any(c + " " in text or " " + c in text for c in GAPS if c in text)):
             first, *rest = text.split(" ")
             return [*([first] if first else []), *[" " + p for p in rest]]
         return [p for p in regex.split(r"(?<=\S)(?= \S)", text, flags=regex.V1) if p]
 
-    def encoded(self, text: str) -> list[Encoded]:
-        """What the matches of the pattern encode to, one after the other."""
-        out: list[Encoded] = []
-        get, match = self.memo.get, self._match
+    def encode(self, text: str) -> list[int]:
+        """The ids of the pattern's matches, one after the other."""
+        out: list[int] = []
+        get, match, take = self.memo.get, self._match, out.extend
         for p in self.pieces_of(text):
-            got = get(p)
+            got = get(p) if self.by_spaces else None
             if got is not None and p[-1] not in GAPS:
-                out.append(got)
+                take(got)
                 continue
             mark = p[-1]
-            if mark == "," or mark == ".":
+            if self.by_spaces and (mark == "," or mark == "."):
                 core = p[:-1]
                 got = get(core)
                 if got is not None and core[-1].isalpha():  # a word that is one match, and the mark after it
-                    out.append(got)
-                    out.append(get(mark) or match(mark))
+                    take(got)
+                    take(get(mark) or match(mark))
                     continue
-            out += [get(m) or match(m) for m in self.pattern.findall(p)]
+            for m in self.pattern.findall(p):
+                take(get(m) or match(m))
+            get = self.memo.get
         return out
 
-    def encode(self, text: str) -> list[int]:
-        return [int(i) for x in self.encoded(text) for i in x[1].split()]
+    def text_of(self, ids: list[int]) -> str:
+        return " ".join(map(self.text.__getitem__, ids))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
@@ -182,24 +196,22 @@ def _texts(column: pa.Array) -> list[str]:
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """(doc_id, ids array<int>) of each row."""
-    own = (path, pattern) if path and pattern else default_tokenizer()
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def one(b: pa.RecordBatch) -> dict:
-        c = coder(*own)
+        c = coder(path, pattern)
         ids = [np.array(c.encode(t), np.int32) for t in _texts(b.column(1))]
         return {"doc_id": b.column(0), "ids": pa.array(ids, pa.list_(pa.int32()))}
 
-    return arrow_map(src, one, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, ids array<int>", ["doc_id", "text"])
+    return arrow_map(src, one, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, ids array<int>", ["doc_id", "text"], release)
 
 
 def decode(rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """(doc_id, data binary) of each row: the bytes that the ids stand for."""
-    own = (path, pattern) if path and pattern else default_tokenizer()
     src = rows.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"))
 
     def one(b: pa.RecordBatch) -> dict:
-        c = coder(*own)
+        c = coder(path, pattern)
         return {"doc_id": b.column(0), "data": pa.array([None if x is None else c.decode(x) for x in b.column(1).to_pylist()], pa.binary())}
 
     return arrow_map(src, one, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, data binary", ["doc_id", "ids"])
@@ -207,20 +219,19 @@ def decode(rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path:
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): ``encode`` and ``decode`` without moving the ids."""
-    own = (path, pattern) if path and pattern else default_tokenizer()
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def one(b: pa.RecordBatch) -> dict:
-        c = coder(*own)
+        c = coder(path, pattern)
         n, ids, data = [], [], []
         for t in _texts(b.column(1)):
-            got = c.encoded(t)
-            n.append(sum(x[0] for x in got))
-            ids.append(hashlib.sha256(" ".join([x[1] for x in got]).encode()).hexdigest())
-            data.append(hashlib.sha256(b"".join([x[2] for x in got])).hexdigest())
+            own = c.encode(t)
+            n.append(len(own))
+            ids.append(hashlib.sha256(c.text_of(own).encode()).hexdigest())
+            data.append(hashlib.sha256(c.decode(own)).hexdigest())
         return {"doc_id": b.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(data, pa.string())}
 
-    return arrow_map(src, one, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string", ["doc_id", "text"])
+    return arrow_map(src, one, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string", ["doc_id", "text"], release)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

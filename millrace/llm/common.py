@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -11,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _own_dirs: dict[str, str] = {}
 _staged: list[tuple[SparkSession, str]] = []
 
@@ -81,16 +84,38 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).fill_null(b"").to_pylist()
 
 
-def arrow_map(df: DataFrame, per_batch, schema: str, columns: list[str]) -> DataFrame:
-    """Apply ``per_batch(RecordBatch) -> dict of columns`` to the named columns, batch by batch."""
+SLICE = 1024  # rows handled at once: what Python holds beside a batch
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers are kept and reused, their free memory counts against the executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def sliced(batches, after=None):
+    """The batches in slices of at most ``SLICE`` rows; at the end ``after`` is called and free memory given back."""
+    try:
+        for b in batches:
+            for k in range(0, b.num_rows, SLICE):
+                yield b.slice(k, SLICE)
+    finally:
+        if after:
+            after()
+        give_back()
+
+
+def arrow_map(df: DataFrame, per_batch, schema: str, columns: list[str], after=None) -> DataFrame:
+    """Apply ``per_batch(RecordBatch) -> dict of columns`` to the named columns, slice by slice; ``after()`` ends each partition."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
-        for b in batches:
-            if b.num_rows:
-                out = per_batch(b)
-                if out is not None:
-                    yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in (out[n] for n in names)], names=names)
+        for b in sliced(batches, after):
+            out = per_batch(b)
+            if out is not None:
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in (out[n] for n in names)], names=names)
 
     return df.select(*columns).mapInArrow(run, schema)
 
@@ -101,15 +126,16 @@ def held_out(doc_id, modulus: int, remainder: int):
 
 
 def hash_sample(df: DataFrame, id_col: str, rows: int) -> DataFrame:
-    """The ``rows`` rows that come first by a hash of their id.
+    """The ``rows`` rows that come first by a hash of their id; ``df`` has one row for each id.
 
     Only rows below a hash limit that about four times as many pass are sorted, so what tasks send does
-    not grow with their number.
+    not grow with their number; should too few pass, all are.
     """
     top = 1 << 40
-    limit = min(top, 4 * rows * top // max(1, df.count()) + 1)
     h = F.pmod(F.xxhash64(id_col), F.lit(top))
-    return df.where(h < limit).orderBy(h, id_col).limit(rows)
+    n = df.count()
+    below = df.where(h < min(top, 4 * rows * top // max(1, n) + 1))
+    return (below if below.count() >= min(rows, n) else df).orderBy(h, id_col).limit(rows)
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -124,17 +150,20 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     before = _checksum(cur)
     while before[0]:
         sym = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # staged, so that the join has an exchange of its own, which Spark can split at a hub
+        low = stage(sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
         large = (sym.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .where("u != v").distinct())
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = stage(large, "large")
+        low2 = stage(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = (large.join(low2, "u")
                  .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")),
                                            F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
                  .select("e.u", "e.v").where("u != v").distinct())
         nxt = stage(small, "cc")
         after = _checksum(nxt)
-        drop_staged(cur)
+        for old in (cur, low, large, low2):
+            drop_staged(old)
         cur = nxt
         if after == before:
             break
