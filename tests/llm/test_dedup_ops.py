@@ -107,6 +107,50 @@ def test_gray_index_finds_every_link(spark, monkeypatch, blocks, hot):
     assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
+def test_upper_nodes_are_pruned(spark):
+    """The index over all fingerprints of a table finds every link, and drops most of what it meets on the way."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    fps = np.unique(np.array([r.fp for r in simhash.fingerprints(rows).select("fp").distinct().collect()], np.int64).view(np.uint64))
+    fps = fps[np.argsort(simhash.gray_rank(fps))]
+    index = simhash.GrayIndex(fps, np.array([0, len(fps)]))
+    got = {(int(i), int(j)) for a, b in index.links(4) for i, j in zip(a, b)}
+    want = set()
+    for k in range(len(fps) - 1):
+        want |= {(k, int(j)) for j in k + 1 + np.flatnonzero(np.bitwise_count(fps[k + 1:] ^ fps[k]) <= 4)}
+    assert got == want and len(want) > 10
+    upper = sum(index.dropped[1:])
+    assert len(index.levels) == 7 and upper > 5000 and index.dropped[0] > 150_000 and index.compared < 0.6 * len(fps) ** 2 / 2
+    assert simhash.plan(len(fps), 4) == (5, 2) and simhash.plan(13_000_000, 4)[0] == 5 and simhash.plan(10**9, 4)[0] == 6
+
+
+@pytest.mark.parametrize("hot", [16384, 24])
+def test_near_copies_against_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT", hot)
+    r = random.Random(6)
+    rows = [(k, t) for k, (_, t) in enumerate(texts())]
+    for c in range(6):
+        base = prose(300 + c, 120).split()
+        for k in range(15):
+            w = base[:]
+            for _ in range(r.randint(0, 3)):
+                w[r.randrange(len(w))] = f"other{k}"
+            rows.append((len(rows), " ".join(w)))
+    sets = {}
+    for i, t in rows:
+        w = (t or "").lower().encode().split()
+        sets[i] = {tuple(w[k:k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    like = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    want = roots(list(sets), like)
+    got = {x.doc_id: x.group_id for x in simhash.near_copies(documents(spark, rows), "doc_id").collect()}
+    assert got == want and sum(want[i] != i for i in want) > 60
+    assert simhash.near_copies(documents(spark, rows).limit(0), "doc_id").count() == 0
+
+
+def test_ids_that_are_not_numbers(spark):
+    rows = spark.createDataFrame([("b", prose(1, 60)), ("a", prose(1, 60)), (None, prose(2, 60)), ("x9", None)], "doc_id string, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(rows).collect()} == {"b": "a", "a": "a", None: None, "x9": "x9"}
+
+
 def test_components_of_chains(spark):
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100), (200, 300), (300, 250)] + [(500, 501 + k) for k in range(50)]

@@ -19,7 +19,7 @@ def test_run_against_each_stage(spark):
     model = toxicity.fit(docs, table(spark, DATA, "labels")).ready()
     kept = {r.doc_id: r.text for r in docs.collect() if model.score(r.text or "") < 0.5}
     rows = spark.createDataFrame(list(kept.items()), "doc_id long, text string")
-    kept = {r.doc_id: kept[r.doc_id] for r in simhash.near_duplicates(rows).where("doc_id = component_id").collect()}
+    kept = {r.doc_id: kept[r.doc_id] for r in simhash.near_copies(rows, "doc_id").where("doc_id = group_id").collect()}
     rows = spark.createDataFrame(list(kept.items()), "doc_id long, text string")
     bad = {r.doc_id for r in decontaminate.judged(rows, table(spark, DATA, "benchmark")).where("contaminated").collect()}
     kept = {i: t for i, t in kept.items() if i not in bad}
