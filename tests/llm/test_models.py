@@ -47,11 +47,37 @@ def test_grammar_weighs_clauses():
 def test_composition_equals_running_all_parts():
     g = toxicity.grammar()
     states, state = [0] * len(g.parts), g.start
-    for symbol in "YOOINOOIRITMOOTQIQI":
+    for symbol in "YOOINOOIRITMOOTQIQIYIIY":
         steps = [p.go(s, symbol) for p, s in zip(g.parts, states)]
-        states = [s for s, _ in steps]
-        state, factor = g.go(state, symbol)
-        assert list(state) == states and factor == pytest.approx(math.prod(f for _, f in steps))
+        states = [s for s, _, _ in steps]
+        state, factor, bonus = g.go(state, symbol)
+        assert list(state) == states and factor == pytest.approx(math.prod(f for _, f, _ in steps)) and bonus == pytest.approx(sum(b for _, _, b in steps))
+
+
+def test_each_transducer_counts():
+    w = lambda tape: toxicity.grammar().weight([(c, 1.0 if c in "IT" else 0.0) for c in tape])
+    assert w("I") == 1 and w("II") == pytest.approx(2.25) and w("YI") == pytest.approx(1.3) and w("IOY") == pytest.approx(1.3) and w("IOOOY") == 1
+    assert w("NI") == pytest.approx(0.35) and w("NOOOI") == 1 and w("RI") == 0.5 and w("QIQ") == 0.5 and w("QOQI") == 1 and w("T") == pytest.approx(0.1) and w("MT") == 1
+
+
+def test_clauses_are_read_whole():
+    m = toxicity.Model({w: toxicity.SEED for w in toxicity.INSULTS}, {}).ready()
+    far = "she said " + "word " * 1000 + "idiot"
+    assert m.clause(far) == 0.5 * toxicity.SEED and list(m.clauses(far + ". Fine. An idiot, no?")) == [far, " an idiot"]
+    assert list(m.clauses("idiot. idiot")) == ["idiot", " idiot"] and list(m.clauses("anidiot")) == [] and len(list(m.clauses("idiot, " * 20_000))) == 20_000
+
+
+def test_paths_decide_where_words_do_not():
+    """Toxic texts hold a word three times, others once: sums over paths tell them apart, the strongest word does not."""
+    r = np.random.default_rng(5)
+    common = [f"w{chr(97 + i)}{chr(97 + j)}x" for i in range(20) for j in range(20)]
+    own = lambda n: " ".join(r.permutation([*r.choice(common, 60), *["zorgle"] * n]))
+    texts_, y = [own(4) for _ in range(60)] + [own(k % 2) for k in range(400)], [1] * 60 + [0] * 400
+    words, stems = toxicity._induce(texts_, y)
+    m = toxicity.Model(words, stems).ready()
+    x = np.array([(1.0, *m.features(t)) for t in texts_])
+    m.weights = tuple(toxicity.logistic(x, np.array(y, float), np.array(m.weights), 0.1))
+    assert all((m.score(own(4)) >= 0.5) and (m.score(own(1)) < 0.5) and m.score(own(0)) < 0.5 for _ in range(20))
 
 
 def test_gradients_by_finite_differences():
