@@ -8,13 +8,14 @@ match that fails its length is dropped and the scan goes on behind it:
 - access: `AKIA[A-Z0-9]+` of 16 or more characters;
 - hex: `[0-9a-f]+` of 32 or more characters.
 
-Confirmed kinds come from decoding: long base64 (either alphabet) or hex runs, armoured blocks
-and dotted triples are decoded, and reported only if the bytes parse as what they would have to be:
+Confirmed kinds come from decoding: long base64 (either alphabet; also over several lines) or hex
+runs, armoured blocks and dotted triples are decoded, and reported only if the bytes parse as what they would have to be:
 
 - der: nested definite lengths that fill their parents exactly, in the shape of an RSA, EC or
   PKCS#8 private key;
 - sshkey: an `openssh-key-v1` blob whose length-prefixed fields lie inside it;
-- pem: an armoured private key whose body is one of these two, or is marked as encrypted;
+- pem: an armoured private key whose body is one of these two; or an encrypted one: PKCS#8 by its
+  nested lengths, or the older form by its headers (cipher and initial vector) and whole blocks;
 - jwt: two dotted segments that decode to JSON objects, the first with an `alg`, and a signature.
 
 Defined cases: null counts as empty; repeated rows stay repeated; other columns are ignored,
@@ -41,8 +42,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}(?![0-9A-Fa-f])")
 LONG_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{48,}={0,2}")
-DOTTED = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]{16,})(?![A-Za-z0-9_-])")
-ARMOUR = re.compile(r"-----BEGIN ([A-Z ]{0,30})PRIVATE KEY-----(.*?)-----END \1PRIVATE KEY-----", re.DOTALL)
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}+(?:\r?\n[A-Za-z0-9+/]{40,}+)*+(?:\r?\n[A-Za-z0-9+/]{2,}+={0,2})?")
+DOTTED = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,}+)\.([A-Za-z0-9_-]{4,}+)\.([A-Za-z0-9_-]{16,}+)(?![A-Za-z0-9_-])")
+MARK = re.compile(r"-----(BEGIN|END) ([A-Z ]{0,30}?)PRIVATE KEY-----")
+CIPHER = re.compile(r"[A-Z0-9-]{3,30},([0-9A-Fa-f]{16}|[0-9A-Fa-f]{32})")
 
 
 def from_base64(text: str) -> bytes | None:
@@ -118,6 +121,44 @@ def is_private_ssh(data: bytes) -> bool:
     return bool(fields[0]) and len(fields[4]) >= 16
 
 
+def is_encrypted_der(data: bytes) -> bool:
+    """An encrypted PKCS#8 key: an algorithm with its parameters, and whole blocks of data."""
+    top = der_items(data, 0, len(data))
+    if not top or len(top) != 1 or top[0][0] != 0x30:
+        return False
+    parts = der_items(data, top[0][1], top[0][2])
+    if not parts or [p[0] for p in parts] != [0x30, 0x04] or parts[1][2] - parts[1][1] < 16:
+        return False
+    algorithm = der_items(data, parts[0][1], parts[0][2])
+    return bool(algorithm) and len(algorithm) == 2 and algorithm[0][0] == 0x06 and algorithm[1][0] == 0x30 and bool(der_items(data, algorithm[1][1], algorithm[1][2]))
+
+
+def is_armoured_key(label: str, body: str) -> bool:
+    """What stands between the marks decodes to a private key."""
+    lines = [x.strip() for x in body.strip().splitlines()]
+    headers = {}
+    while lines and ":" in lines[0]:
+        name, _, value = lines.pop(0).partition(":")
+        headers[name.strip()] = value.strip()
+    raw = from_base64("".join("".join(lines).split()))
+    if not raw:
+        return False
+    if "DEK-Info" in headers:
+        m = CIPHER.fullmatch(headers["DEK-Info"])
+        return bool(m) and headers.get("Proc-Type", "").replace(" ", "") == "4,ENCRYPTED" and len(raw) >= 32 and len(raw) % (len(m[1]) // 2) == 0
+    return is_encrypted_der(raw) if label.startswith("ENCRYPTED") else is_private_der(raw) or is_private_ssh(raw)
+
+
+def armoured_spans(text: str) -> list[tuple[int, int]]:
+    """Spans from each mark of a beginning to the end mark of its label, where no other mark stands between."""
+    out, begun = [], None
+    for m in MARK.finditer(text):
+        if m[1] == "END" and begun and begun[2] == m[2] and is_armoured_key(m[2], text[begun.end():m.start()]):
+            out.append((begun.start(), m.end()))
+        begun = m if m[1] == "BEGIN" else None
+    return out
+
+
 def is_signed_token(head: str, body: str) -> bool:
     """Header and payload decode to JSON objects, the header with its algorithm."""
     parsed = []
@@ -149,14 +190,7 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind index, end) of what decodes to a key or a signed token."""
     out = []
     if "-----BEGIN " in text:
-        for m in ARMOUR.finditer(text):
-            body = m[2].strip()
-            if "ENCRYPTED" in m[1] or "ENCRYPTED" in body:
-                out.append((m.start(), 5, m.end()))
-                continue
-            raw = from_base64("".join(body.split()))
-            if raw and (is_private_der(raw) or is_private_ssh(raw)):
-                out.append((m.start(), 5, m.end()))
+        out += [(s, 5, e) for s, e in armoured_spans(text)]
     if max(map(len, text.split()), default=0) >= 32:
         for m in DOTTED.finditer(text):
             if is_signed_token(m[1], m[2]) and from_base64(m[3]) is not None:
@@ -167,6 +201,11 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
                 kind = 3 if raw[0] == 0x30 and is_private_der(raw) else 4 if is_private_ssh(raw) else 0
                 if kind:
                     out.append((m.start(), kind, m.end()))
+        for m in WRAPPED.finditer(text):
+            for end in {m.end(), m.start() + m[0].rfind("\n")} if "\n" in m[0] else ():
+                raw = from_base64("".join(text[m.start():end].split()))
+                if raw and (kind := 3 if is_private_der(raw) else 4 if is_private_ssh(raw) else 0):
+                    out.append((m.start(), kind, len(text[:end].rstrip()) if end < m.end() else end))
         for m in LONG_HEX.finditer(text):
             if len(m[0]) % 2 == 0:
                 raw = bytes.fromhex(m[0])
