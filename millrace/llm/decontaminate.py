@@ -8,8 +8,9 @@ is at least ``window``, the last ``window`` words are an occurrence, and a state
 short items that end there. Words that no item has break the stream, so only runs of item
 words of the least window's length are streamed at all.
 
-The automaton of at most ``shard_words`` item words is broadcast (its states are at most twice
-that number). A larger benchmark is dealt into shards by item, each takes its own pass over the
+The automaton of at most about ``shard_words`` item words is broadcast (its states are at most twice
+that number). A larger benchmark is dealt into shards, a longer item into pieces that overlap by a
+window less a word. Shards are built and sent one at a time, each takes its own pass over the
 documents, and hits are merged by document.
 
 Defined cases: null or empty texts have no words; items without words never occur; equal
@@ -20,13 +21,14 @@ repeated; an empty benchmark hits nothing; other columns are ignored, whatever t
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import arrow_map, keyed, stage, table, text_bytes
+from millrace.llm.common import arrow_map, drop_staged, keyed, sliced, stage, table, text_bytes
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -146,33 +148,51 @@ class SuffixAutomaton:
         return out, found
 
 
-def _shards(items: DataFrame, id_col: str, text_col: str, window: int, shard_words: int) -> list[SuffixAutomaton]:
-    own = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null")
-    size = own.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+def _pieces(items: DataFrame, id_col: str, text_col: str, window: int, shard_words: int) -> DataFrame:
+    """(i, piece, words) of each item: pieces of at most ``shard_words`` words, which overlap by ``window`` - 1."""
+    own = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).cast("string").alias("t"))
+    step = max(1, shard_words - window + 1)
+
+    def one(b: pa.RecordBatch) -> dict:
+        ids, piece, words = [], [], []
+        for i, t in zip(b.column(0).to_pylist(), text_bytes(b.column(1))):
+            w = words_of(t)
+            for k in range(0, max(1, len(w) - window + 1) if w else 0, step):
+                ids.append(i)
+                piece.append(k)
+                words.append(b" ".join(w[k:k + max(step + window - 1, window)]))
+        return {"i": pa.array(ids, pa.string()), "piece": pa.array(piece, pa.int64()), "words": pa.array(words, pa.binary())}
+
+    return arrow_map(own, one, "i string, piece long, words binary", ["i", "t"])
+
+
+def _shards(items: DataFrame, id_col: str, text_col: str, window: int, shard_words: int) -> tuple[int, Iterator[SuffixAutomaton]]:
+    """The number of shards, and their automata, built one at a time."""
+    own = stage(_pieces(items, id_col, text_col, window, shard_words), "items")
+    size = own.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     n = max(1, -(-size // (2 * shard_words)))  # a word takes two bytes at least
-    shard = F.pmod(F.xxhash64("i"), F.lit(n))
-    out = []
-    for k in range(n):
-        held: dict[str, list[list[bytes]]] = {}
-        for r in own.where(shard == k).toLocalIterator():
-            held.setdefault(r.i, []).append(words_of(r.t.encode()))
-        out.append(SuffixAutomaton(held, window))
-    return out
+
+    def build() -> Iterator[SuffixAutomaton]:
+        for k in range(n):
+            held: dict[str, list[list[bytes]]] = {}
+            for r in own.where(F.pmod(F.xxhash64("i", "piece"), F.lit(n)) == k).toLocalIterator():
+                held.setdefault(r.i, []).append(r.words.split(b" "))
+            yield SuffixAutomaton(held, window)
+        drop_staged(own)
+
+    return n, build()
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_id: str = "item_id", item_text: str = "text", window: int = 13, shard_words: int = 200_000) -> DataFrame:
     """(doc_id, n_words, spans array<struct<start,end>> of hit words, items array<string>) of each row."""
     spark = docs.sparkSession
-    automata = _shards(items, item_id, item_text, window, shard_words)
+    n, automata = _shards(items, item_id, item_text, window, shard_words)
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kind = src.schema["doc_id"].dataType.simpleString()
-    if len(automata) > 1:
+    schema, extra = f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_words long, s array<long>, e array<long>, items array<string>", []
+    if n > 1:
         src = stage(src.withColumn("row", F.monotonically_increasing_id()), "rows")
-    schema = f"doc_id {kind}, n_words long, s array<long>, e array<long>, items array<string>"
-    extra = ["row"] if len(automata) > 1 else []
-    if extra:
-        schema += ", row long"
+        schema, extra = schema + ", row long", ["row"]
     parts = None
     for automaton in automata:
         held = spark.sparkContext.broadcast(automaton)
@@ -189,6 +209,9 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
             return out | ({"row": b.column(2)} if extra else {})
 
         part = arrow_map(src, one, schema, ["doc_id", "text", *extra])
+        if extra:  # one shard in memory at a time
+            part = stage(part, "shard")
+            held.destroy()
         parts = part if parts is None else parts.union(part)
     if extra:
         parts = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("s")).alias("s"),
@@ -221,14 +244,47 @@ def remove_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     return b"".join([*out, raw[upto:]]).decode()
 
 
+def cleaned(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 20, **columns) -> DataFrame:
+    """(doc_id, text) of each row: contaminated texts lose their hit words, all others stay as they are."""
+    rows, key = keyed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+    spans = judged(rows, items, share, id_col=key, **columns).where("contaminated").select(F.col("doc_id").alias("_row"), "spans")
+
+    def one(b: pa.RecordBatch) -> dict:
+        texts = [remove_spans(t, [(y["start"], y["end"]) for y in x or ()]) for t, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+        return {"doc_id": b.column(0), "text": pa.array(texts, pa.string())}
+
+    both = rows.join(spans, rows[key] == spans["_row"], "left")
+    return arrow_map(both, one, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string", ["doc_id", "text", "spans"])
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "contaminated")
 
 
-def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: contaminated rows go, all others stay as they are, whatever ids they share."""
-    rows, key = keyed(docs)
-    bad = judged(rows, table(spark, sf_dir, "benchmark"), id_col=key).where("contaminated").select(F.col("doc_id").alias("_bad"))
-    return rows.join(bad, rows[key] == bad["_bad"], "left_anti").drop(key)
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str, shard_words: int = 200_000) -> DataFrame:
+    """Pipeline stage: contaminated rows go, all others stay as they are, whatever ids they share.
+
+    A benchmark of one shard is judged row by row in one pass; hits of several are brought together by row.
+    """
+    items = table(spark, sf_dir, "benchmark")
+    n, automata = _shards(items, "item_id", "text", 13, shard_words)
+    if n > 1:
+        rows, key = keyed(docs)
+        bad = judged(rows, items, id_col=key, shard_words=shard_words).where("contaminated").select(F.col("doc_id").alias("_bad"))
+        return rows.join(bad, rows[key] == bad["_bad"], "left_anti").drop(key)
+    held = spark.sparkContext.broadcast(next(automata))
+    next(automata, None)
+    at = docs.columns.index("text")
+
+    def clean(text: bytes) -> bool:
+        words = words_of(text)
+        hit = sum(e - s for s, e in held.value.spans(words)[0])
+        return not hit or 20 * hit < len(words)
+
+    def run(batches):
+        for b in sliced(batches):
+            yield b.filter(pa.array([clean(t) for t in text_bytes(b.column(at))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
