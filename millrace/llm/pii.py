@@ -8,11 +8,11 @@ that fail their test are dropped without another try inside them:
 - card: `[0-9]([\\x20-]?[0-9])+` of 13 to 19 digits that pass the Luhn test;
 - phone: `\\+[0-9][\\x20().0-9-]+[0-9]` of 9 to 15 digits.
 
-Further spans (local phone numbers, spelled-out addresses, account and social numbers, titled
-names, unchecked cards) are proposed by looser patterns. Labelers vote for, against or not at all
-on every candidate, base ones included: strict patterns, a checksum, gazetteers (mail providers,
-calling codes, titles and given names, country codes), words for and against in the context, and
-the way the span stands in its line. Expectation-maximisation over the counts of vote patterns of
+Further spans (phone numbers without a country or run into the next number, spelled-out addresses,
+account and social numbers, titled names, unchecked cards) are proposed by looser patterns. Labelers vote for, against or not at all
+on every candidate, base ones included: other personal data close by, a checksum or the rules of
+the number, gazetteers (mail providers and top-level domains, calling codes, given names, country
+codes), words for and against in the context, and the way the span stands in its line. Expectation-maximisation over the counts of vote patterns of
 *all* documents estimates each labeler's reliability and each pattern's probability; a logistic
 span classifier over kind, votes and shape is then fitted to these probabilities, weighted by the
 counts, and decides on the further spans. Base spans always stay.
@@ -27,13 +27,14 @@ fitted; other columns are ignored, whatever their names. Offsets are code points
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import arrow_map, stage, table
+from millrace.llm.common import arrow_map, drop_staged, sliced, stage, table
 
 KINDS = ("email", "ip", "card", "phone", "email_spelled", "phone_local", "account", "social", "name", "card_unchecked")
 BASE = 4  # the first so many kinds are base kinds
@@ -43,18 +44,28 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SPELLED = re.compile(r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,64}\x20?[\[({]\x20?at\x20?[\])}]\x20?[A-Za-z0-9-]{2,63}\x20?[\[({]\x20?dot\x20?[\])}]\x20?[A-Za-z]{2,24}\b", re.I)
-PHONE_LOCAL = re.compile(r"(?<![0-9+.\w-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9\w-])")
+PHONE_LOCAL = re.compile(r"(?<![0-9+.\w-])(?:\+?1[\x20.-])?\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9\w-])")
 ACCOUNT = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 SOCIAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 NAME = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\b\.?\x20(?:[A-Z][^\W\d_]{1,20}\x20?){1,3}")
 DIGIT = re.compile(r"[0-9]")
-PROVIDERS = frozenset("gmail.com outlook.com hotmail.com yahoo.com icloud.com proton.me web.de gmx.de orange.fr free.fr".split())
-CALLING = ("1", "33", "34", "39", "41", "43", "44", "49", "61", "81", "86", "91")
-GIVEN = frozenset("james mary john anna maria peter paul laura hans greta pierre marie jean jose carmen luis david sarah".split())
-COUNTRIES = frozenset("AT BE CH DE DK ES FI FR GB IE IT LU NL NO PL PT SE".split())
+PROVIDERS = frozenset("gmail.com googlemail.com outlook.com hotmail.com live.com msn.com yahoo.com ymail.com icloud.com me.com aol.com proton.me protonmail.com "
+                      "fastmail.com zoho.com mail.com web.de gmx.de gmx.net t-online.de freenet.de orange.fr free.fr laposte.net sfr.fr wanadoo.fr libero.it "
+                      "terra.es yahoo.es yahoo.fr yahoo.de hotmail.es hotmail.fr comcast.net verizon.net btinternet.com qq.com 163.com yandex.ru mail.ru".split())
+TOP = frozenset("com org net edu gov mil int io de at ch fr be lu nl es pt it uk ie dk se no fi pl cz eu us ca mx br ar jp cn in au nz ru".split())
+#: country calling codes of one and two digits; those that begin with the other pairs have three
+CALLING_1, CALLING_2 = "17", frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+GIVEN = frozenset(
+    "james mary john robert patricia jennifer michael linda david elizabeth william barbara richard susan joseph jessica thomas sarah karen charles lisa daniel nancy "
+    "matthew betty anthony margaret mark sandra donald ashley steven kimberly paul emily andrew donna joshua michelle kenneth carol kevin amanda brian dorothy george "
+    "hans peter wolfgang klaus jürgen uwe dieter günther stefan andreas greta anna petra monika sabine ursula renate karin brigitte heike lukas jonas lena "
+    "pierre jean jacques michel philippe alain bernard marie jeanne françoise monique catherine nathalie isabelle sylvie camille louis hugo "
+    "josé antonio manuel francisco juan luis carlos jesús javier miguel carmen maría josefa isabel dolores pilar teresa lucía ana laura".split())
+COUNTRIES = frozenset("AD AT BE BG CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IS IT LI LT LU LV MC MT NL NO PL PT RO SE SI SK SM".split())
 FOR = re.compile(r"\b(?:e-?mail|mail|phone|tel|telephone|mobile|call|fax|contact|card|visa|iban|account|konto|ssn|social|address|ip|host|name|born|patient|customer)\b", re.I)
 AGAINST = re.compile(r"\b(?:version|release|isbn|issn|order|invoice|ticket|serial|part|section|figure|page|example|sample|test|sku)\b", re.I)
 CONTEXT = 40  # characters to either side that context labelers read
+BESIDE = 30  # characters to either side within which other personal data speak for a span
 LABELERS = 6
 
 
@@ -119,14 +130,31 @@ def further_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int
         found += [(7, *m.span()) for m in SOCIAL.finditer(text)]
         found += [(9, *m.span()) for m in CARD.finditer(text) if 13 <= len(digits_of(m[0])) <= 19]
     found += [(8, m.start(), m.start() + len(m[0].rstrip())) for m in NAME.finditer(text)]
-    return [x for x in found if not any(x[1] < e and s < x[2] for _, s, e in base)]
+    starts, ends = _merged([(s, e) for _, s, e in base])
+    return [x for x in found if (k := bisect_left(ends, x[1] + 1)) == len(ends) or starts[k] >= x[2]]
 
 
-def votes(text: str, kind: int, s: int, e: int) -> tuple[int, ...]:
-    """Each labeler's vote: 2 for, 1 against, 0 none."""
+def _merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what the spans cover, in order."""
+    starts, ends = [], []
+    for s, e in sorted(spans):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
+def calling_code(d: str) -> bool:
+    return d[:1] in CALLING_1 or d[:2] in CALLING_2 or d[:2] in ("21", "22", "23", "24", "25", "26", "29", "35", "37", "38", "42", "50", "59", "67", "68", "69", "80", "85", "88", "96", "97", "99")
+
+
+def votes(text: str, kind: int, s: int, e: int, beside: bool = False) -> tuple[int, ...]:
+    """Each labeler's vote: 2 for, 1 against, 0 none. ``beside``: other personal data stand close by."""
     span = text[s:e]
     d = digits_of(span)
-    strict = 2 if kind < BASE or kind in (6, 7) else 0
+    company = 2 if beside else 0
     if kind in (2, 9):
         check = 2 if luhn(d) and len(set(d)) > 2 else 1
     elif kind == 6:
@@ -135,12 +163,21 @@ def votes(text: str, kind: int, s: int, e: int) -> tuple[int, ...]:
         check = 1 if d[:3] in ("000", "666") or d[0] == "9" or d[3:5] == "00" or d[5:] == "0000" else 2
     elif kind in (3, 5):
         check = 1 if len(set(d)) <= 2 else 0
+    elif kind == 1:
+        check = 1 if any(p != "0" and p.startswith("0") for p in span.split(".")) else 2
+    elif kind in (0, 4):
+        check = 2 if len(span) <= 254 and ".." not in span else 1
     else:
         check = 0
     if kind == 0:
-        known = 2 if span.rpartition("@")[2].lower() in PROVIDERS else 0
+        domain = span.rpartition("@")[2].lower()
+        known = 2 if domain in PROVIDERS or domain.rpartition(".")[2] in TOP else 0
     elif kind == 3:
-        known = 2 if d.startswith(CALLING) else 1
+        known = 2 if calling_code(d) else 1
+    elif kind == 5:  # areas and exchanges begin with 2 to 9, but not in the fictional numbers of some examples
+        known = 2 if span[0] == "+" or d[-7] > "1" and d[-10] > "1" else 1
+    elif kind == 4:
+        known = 2 if re.split(r"[^A-Za-z]+", span)[-1].lower() in TOP else 0
     elif kind == 6:
         known = 2 if span[:2] in COUNTRIES else 0
     elif kind == 8:
@@ -152,7 +189,7 @@ def votes(text: str, kind: int, s: int, e: int) -> tuple[int, ...]:
     near = text[max(0, s - CONTEXT):s] + " " + text[e:e + CONTEXT]
     before, after = text[s - 1:s], text[e:e + 1]
     alone = 2 if (not before or not (before.isalnum() or before in "._-/#")) and (not after or not (after.isalnum() or after in "_-/#@")) else 1
-    return strict, check, known, 2 if FOR.search(near) else 0, 1 if AGAINST.search(near) else 0, alone
+    return company, check, known, 2 if FOR.search(near) else 0, 1 if AGAINST.search(near) else 0, alone
 
 
 def shape(text: str, s: int, e: int) -> int:
@@ -180,7 +217,19 @@ def candidates(text: str) -> list[tuple[int, int, int, int]]:
     """(kind, start, end, pattern code) of base and further spans."""
     base = base_spans(text)
     both = base + further_spans(text, base)
-    return [(k, s, e, code_of(k, votes(text, k, s, e), shape(text, s, e))) for k, s, e in both]
+    if not both:
+        return []
+    starts, ends = _merged([(s, e) for _, s, e in base])
+
+    def beside(s: int, e: int) -> bool:
+        k = bisect_left(ends, max(0, s - BESIDE))  # the first that ends no further before
+        while k < len(starts) and starts[k] < e + BESIDE:
+            if ends[k] <= s or starts[k] >= e:
+                return True
+            k += 1
+        return False
+
+    return [(k, s, e, code_of(k, votes(text, k, s, e, beside(s, e)), shape(text, s, e))) for k, s, e in both]
 
 
 def expectation(counts: dict[int, int], rounds: int = 100) -> dict[int, float]:
@@ -298,12 +347,14 @@ def redact_text(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: personal data gives way to the name of its kind; n_chars follows the text."""
-    take = frozenset(accepted(spotted(docs)))
+    found = spotted(docs)
+    take = frozenset(accepted(found))
+    drop_staged(found)
     schema, at = docs.schema, docs.columns.index("text")
     n_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             texts = [None if t is None else redact_text(t, [(k, s, e) for k, s, e, c in candidates(t) if k < BASE or c in take]) for t in b.column(at).to_pylist()]
             cols = list(b.columns)
             cols[at] = pa.array(texts, b.schema.field(at).type)
