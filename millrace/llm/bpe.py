@@ -115,7 +115,7 @@ class Coder:
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        n, size, shorter, compatible = len(data), self.size, self.shorter, self.compatible
+        n, size, shorter, compatible, pairs = len(data), self.size, self.shorter, self.compatible, self.pairs
         longest = [-1] * (n + 1)
         for end, i in self.automaton.iter(data.decode("latin-1")):
             longest[end - size[i] + 1] = i  # ends grow, so the longest comes last
@@ -124,7 +124,7 @@ class Coder:
         at, t, before = 0, longest[0], -1
         while at < n:
             while t >= 0:
-                if not dead[at + size[t]] and (before < 0 or compatible(before, t)):
+                if not dead[at + size[t]] and (before < 0 or pairs[(before * 40503 ^ t) % PAIRS] == before << 33 | t << 1 | 1 or compatible(before, t)):
                     break
                 t = shorter[t]
             if t < 0:

@@ -7,18 +7,21 @@ judged on the input.
 The reference is the whole table, cut into blocks by content: each window has an anchor, the
 least hash among its shingles of ``SHINGLE`` words, and consecutive windows with one anchor are a
 block. Equal windows have equal anchors, so only blocks whose anchor occurs under two ids are
-parsed at all. The parse is greedy in two steps:
+parsed at all. A document is factored against the index from left to right; a factor is (start, end,
+source id, source start):
 
-1. A whole block that the index has from a smaller id is a factor: all its windows go at once.
-   Consecutive factors join to long ones; of a group of copies only the first keeps its blocks.
-2. Where a block is not a factor (a copied passage begins or ends inside it, or the block is the
+1. A whole block that the index has from a smaller id begins a factor there, or carries the last one
+   on if that leads to the same place of the same source.
+2. Where a block is not in the index (a copied passage begins or ends inside it, or the block is the
    first of its kind), the boundary is checked window by window against the windows of all other
-   such blocks. A block that is a factor need not be indexed: its windows stand in the smaller
-   document that it was copied from.
+   such blocks: factors grow to their first and last word. A block that is in the index need not be
+   indexed again: its windows stand in the smaller document that it was copied from.
 
-Both indexes are aggregations by hash, so a passage of a third of all documents is reduced
-before the shuffle, and joins back to it are plain joins that Spark splits where skewed. Keys are
-128 bits (anchor and block, or anchor and window).
+Of several sources a block has the least id, so a factor is the longest match in that source, not the
+longest in any; which words go is the same. Both indexes are aggregations by hash, so a passage of a
+third of all documents is reduced before the shuffle; they are written before rows are joined to them,
+and these are plain joins that Spark splits where skewed. Keys are 128 bits (anchor and block, or
+anchor and window).
 
 Defined cases: null counts as no words; a null id is never a reference and keeps all its words;
 rows of one id are not references of each other; other columns are ignored, whatever their names.
@@ -78,6 +81,10 @@ class Windows:
         return self.doc[first], self.anchor[first], self.words.slices(start, start + n + self.window - 1), start - self.first_word[self.doc[first]], n
 
 
+def _kind(df: DataFrame) -> str:
+    return df.schema["doc_id"].dataType.simpleString()
+
+
 def _blocks(src: DataFrame, window: int) -> DataFrame:
     def one(b: pa.RecordBatch) -> dict | None:
         texts, out = text_bytes(b.column(2)), []
@@ -89,7 +96,7 @@ def _blocks(src: DataFrame, window: int) -> DataFrame:
         return {"doc_id": b.column(0).take(take), "th": b.column(1).take(take), "anchor": anchor.view(np.int64), "block": block.view(np.int64),
                 "first": first.astype(np.int32), "n": n.astype(np.int32)}
 
-    return arrow_map(src, one, "doc_id long, th long, anchor long, block long, first int, n int", ["doc_id", "th", "text"])
+    return arrow_map(src, one, f"doc_id {_kind(src)}, th long, anchor long, block long, first int, n int", ["doc_id", "th", "text"])
 
 
 def _windows(src: DataFrame, window: int) -> DataFrame:
@@ -111,39 +118,56 @@ def _windows(src: DataFrame, window: int) -> DataFrame:
         take = pa.array(doc)
         return {"doc_id": b.column(0).take(take), "th": b.column(1).take(take), "anchor": anchor.view(np.int64), "w": h.view(np.int64), "pos": pos.astype(np.int32)}
 
-    return arrow_map(src, one, "doc_id long, th long, anchor long, w long, pos int", ["doc_id", "th", "text", "at"])
+    return arrow_map(src, one, f"doc_id {_kind(src)}, th long, anchor long, w long, pos int", ["doc_id", "th", "text", "at"])
 
 
 def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
-    """(doc_id, th, spans array<struct<s,e>>): word ranges to remove; th is xxhash64 of the text."""
+    """(doc_id, th, spans array<struct<s,e,source,at>>): word ranges to remove, and where the same words stand; th is xxhash64 of the text."""
     src = _source(docs, id_col, text_col).where("doc_id is not null and text is not null")
     blocks = _blocks(src, window)
     several = blocks.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select(F.col("anchor").alias("_a"))
     shared = stage(blocks.join(several, F.col("anchor") == F.col("_a"), "left_semi"), "blocks")
-    least = shared.groupBy(F.col("anchor").alias("_a"), F.col("block").alias("_b")).agg(F.min("doc_id").alias("low"))
+    least = stage(shared.groupBy(F.col("anchor").alias("_a"), F.col("block").alias("_b")).agg(F.min("doc_id").alias("low"), F.min_by("first", "doc_id").alias("at")), "index")
     parsed = stage(shared.join(least, (F.col("anchor") == F.col("_a")) & (F.col("block") == F.col("_b")))
-                   .select("doc_id", "th", "first", "n", (F.col("low") < F.col("doc_id")).alias("factor")), "parsed")
+                   .select("doc_id", "th", "first", "n", "low", "at", (F.col("low") < F.col("doc_id")).alias("factor")), "parsed")
     drop_staged(shared)
+    drop_staged(least)
     edges = parsed.where("not factor").groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(F.collect_set(F.struct("first", "n")).alias("at"))
     rows = src.join(edges, (F.col("doc_id") == F.col("_d")) & (F.col("th") == F.col("_t"))).dropDuplicates(["doc_id", "th"])
     checked = stage(_windows(rows, window), "windows")
-    low = checked.groupBy(F.col("anchor").alias("_a"), F.col("w").alias("_w")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    low = stage(checked.groupBy(F.col("anchor").alias("_a"), F.col("w").alias("_w"))
+                .agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min_by("pos", "doc_id").alias("at")).where("low < high").drop("high"), "index")
     single = (checked.join(low, (F.col("anchor") == F.col("_a")) & (F.col("w") == F.col("_w"))).where("low < doc_id")
-              .select("doc_id", "th", F.col("pos").alias("s"), (F.col("pos") + window).alias("e")))
-    whole = parsed.where("factor").select("doc_id", "th", F.col("first").alias("s"), (F.col("first") + F.col("n") + (window - 1)).alias("e"))
-    return whole.union(single).groupBy("doc_id", "th").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+              .select("doc_id", "th", F.col("pos").alias("s"), (F.col("pos") + window).alias("e"), F.col("low").alias("source"), "at"))
+    whole = parsed.where("factor").select("doc_id", "th", F.col("first").alias("s"), (F.col("first") + F.col("n") + (window - 1)).alias("e"), F.col("low").alias("source"), "at")
+    return whole.union(single).groupBy("doc_id", "th").agg(F.collect_set(F.struct("s", "e", "source", "at")).alias("spans"))
+
+
+def factors(spans: list[tuple]) -> list[tuple]:
+    """(start, end, source, source start) of the parse, from spans of the same form: each goes on while its source does."""
+    out: list[tuple] = []
+    for s, e, source, at in sorted(spans):
+        if out:
+            ps, pe, p_source, p_at = out[-1]
+            if source == p_source and s - ps == at - p_at and s <= pe:
+                out[-1] = (ps, max(pe, e), source, p_at)
+                continue
+            if e <= pe:
+                continue
+        out.append((s, e, source, at))
+    return out
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
-def kept_words(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, list[bytes]]:
+def kept_words(text: bytes, spans: list[tuple]) -> tuple[int, list[bytes]]:
     """The number of words, and those outside the spans."""
     words = text.split()
     out, upto = [], 0
-    for s, e in sorted(spans):
+    for s, e, *_ in sorted(spans):
         if s > upto:
             out += words[upto:s]
         upto = max(upto, e)
@@ -159,14 +183,27 @@ def remove_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def one(b: pa.RecordBatch) -> dict:
         n, removed, kept = [], [], []
         for t, x in zip(text_bytes(b.column(1)), b.column(2).to_pylist()):
-            k, words = kept_words(t, [(y["s"], y["e"]) for y in x or ()])
+            k, words = kept_words(t, factors([(y["s"], y["e"], y["source"], y["at"]) for y in x or ()]))
             n.append(k)
             removed.append(k - len(words))
             line = b" ".join(words)
             kept.append(hashlib.sha256(line).hexdigest() if digest else line.decode())
         return {"doc_id": b.column(0), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), name: pa.array(kept, pa.string())}
 
-    return arrow_map(rows, one, f"doc_id long, n_words long, n_removed long, {name} string", ["doc_id", "text", "spans"])
+    return arrow_map(rows, one, f"doc_id {_kind(rows)}, n_words long, n_removed long, {name} string", ["doc_id", "text", "spans"])
+
+
+def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
+    """(doc_id, factors array<struct<start,end,source,source_start>>) of each different id and text that has factors, in words."""
+    spans = duplicate_spans(docs, id_col, text_col, window)
+    kind = _kind(spans)
+
+    def one(b: pa.RecordBatch) -> dict:
+        own = [factors([tuple(y[k] for k in ("s", "e", "source", "at")) for y in x]) for x in b.column(1).to_pylist()]
+        kinds = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("source", b.schema.field("doc_id").type), ("source_start", pa.int32())]))
+        return {"doc_id": b.column(0), "factors": pa.array([[dict(zip(("start", "end", "source", "source_start"), f)) for f in x] for x in own], kinds)}
+
+    return arrow_map(spans, one, f"doc_id {kind}, factors array<struct<start:int,end:int,source:{kind},source_start:int>>", ["doc_id", "spans"])
 
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

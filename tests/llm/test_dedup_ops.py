@@ -70,6 +70,17 @@ def test_substrings_of_other_widths(spark):
             assert got[i] == " ".join(x for k, x in enumerate(w) if k not in hit)
 
 
+def test_factors_stand_at_their_sources(spark):
+    long = prose(98, 300).split()
+    rows = [*texts(), (50, " ".join([*prose(50, 20).split(), *long, *prose(51, 9).split()])), (51, " ".join(long[30:])), (52, " ".join(long[:200] + long[240:]))]
+    words = {i: (t or "").split() for i, t in rows if i is not None}
+    got = {r.doc_id: r.factors for r in substrings.parse(documents(spark, rows)).collect()}
+    assert all(f.source < i and f.end - f.start >= 50 and words[i][f.start:f.end] == words[f.source][f.source_start:f.source_start + f.end - f.start]
+               for i, x in got.items() for f in x)
+    assert [tuple(f) for f in got[51]] == [(0, 270, 50, 50)] and [tuple(f) for f in got[52]] == [(0, 200, 50, 20), (200, 260, 50, 260)]
+    assert substrings.factors([(0, 50, 1, 7), (1, 51, 1, 8), (2, 52, 2, 0), (3, 53, 1, 10)]) == [(0, 51, 1, 7), (2, 52, 2, 0), (3, 53, 1, 10)]
+
+
 def test_simhash_against_brute_force(spark):
     rows = texts()
     near = prose(200, 300).split()
