@@ -50,7 +50,7 @@ from millrace.llm.common import LOWER, SPACE, Poly, arrow_map, drop_staged, grou
 
 END = 256
 ORDERS = (3, 5, 0)  # 0: back to where the word began
-TABLE_BITS = (21, 21, 22)  # slots of each context's table, as powers of two
+TABLE_BITS = (20, 21, 21)  # slots of each context's table, as powers of two
 BASE = np.concatenate(([0], np.cumsum([1 << b for b in TABLE_BITS]))).astype(np.int64)
 BLOCK = 1 << 16  # slots of a block that is sent
 GROUP = 60_000  # bytes handled at once
@@ -60,7 +60,7 @@ DEPTHS, SURE = 3, 30  # sure: log odds of two and more
 UNIT = 15  # stored steps of one in log odds
 GATES = 9 * DEPTHS
 HEIGHTS = 33  # classes of the mixed log odds, half a unit each, in the final stage
-RATE, RATE_FINAL, LEAST_MISS = 0.3, 0.5, 0.02
+RATE, RATE_FINAL, LEAST_MISS = 0.3, 0.5, 0.05
 CUT = 5  # zero bits of a hash of four words behind which a chunk ends: 32 words on average
 AHEAD = 4  # words that a chunk is looked up by
 START = 0  # what stands before a text's first chunk
@@ -252,10 +252,10 @@ class Mixer:
                 continue
             miss = miss[big] * sg[big]
             gb, cb = g[big], cell[big]
-            many = np.bincount(g, minlength=n * GATES) + 20.0
+            many = np.bincount(gb, minlength=n * GATES) + 10.0
             for c in range(len(own)):
                 w[c] += (RATE / UNIT**2 * np.bincount(gb, miss * own[c][big], n * GATES) / many).astype(np.float32)
-            final += (RATE_FINAL * np.bincount(cb, miss, n * HEIGHTS) / (np.bincount(cell, minlength=n * HEIGHTS) + 30.0)).astype(np.float32)
+            final += (RATE_FINAL * np.bincount(cb, miss, n * HEIGHTS) / (np.bincount(cb, minlength=n * HEIGHTS) + 15.0)).astype(np.float32)
         return out, w, final, gate
 
     def run(self, texts: list[bytes]) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
@@ -458,7 +458,7 @@ def _with_chunks(rows: DataFrame, n_texts: int) -> DataFrame:
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, remainder: int = 2,
-           mixer_rows: int = 300, frequent: int = 1 << 17) -> DataFrame:
+           mixer_rows: int = 300, frequent: int = 1 << 19) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte, bit_score) of each row.
 
     ``bit_score`` is what the bit predictors alone give, ``score`` has the chunk table mixed in.
