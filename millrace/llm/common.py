@@ -54,6 +54,19 @@ def drop_staged(df: DataFrame) -> None:
         _staged[:] = [x for x in _staged if x[1] != path]
 
 
+def staged_so_far() -> int:
+    return len(_staged)
+
+
+def drop_since(mark: int, *kept: DataFrame) -> None:
+    """Drop what was staged after ``mark`` was taken, but for ``kept``."""
+    stay = {df._millrace_path for df in kept}
+    for spark, path in _staged[mark:]:
+        if path not in stay:
+            _delete(spark, path)
+    _staged[mark:] = [x for x in _staged[mark:] if x[1] in stay]
+
+
 def keyed(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` staged with a number for each row, and the name of its column."""
     key = "_row"

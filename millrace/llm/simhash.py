@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.buckets import local_roots, map_buckets, segment_starts, split_hot, spread
-from millrace.llm.common import arrow_map, components, drop_staged, keyed, mix64, stage, table, text_bytes
+from millrace.llm.common import arrow_map, components, drop_since, drop_staged, keyed, mix64, stage, staged_so_far, table, text_bytes
 
 LEAF = 8  # fingerprints in a lowest node
 FAN = 4  # nodes in an upper node
@@ -374,9 +374,12 @@ def near_copies(docs: DataFrame, id_col: str, text_col: str = "text", width: int
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near copies one row stays, that of the least doc_id; a null one comes last."""
+    mark = staged_so_far()
     rows, key = keyed(docs)
     group = near_copies(rows, key).select(F.col("doc_id").alias("_member"), F.col("group_id").alias("_group"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_member").alias("_member"))
     ids = rows.select(F.col(key).alias("_key"), F.col("doc_id"))
-    kept = ids.join(group, F.col("_key") == F.col("_member")).groupBy("_group").agg(F.min(order).alias("o")).select(F.col("o._member").alias("_kept"))
-    return rows.join(kept, rows[key] == kept["_kept"], "left_semi").drop(key)
+    kept = stage(ids.join(group, F.col("_key") == F.col("_member")).groupBy("_group").agg(F.min(order).alias("o")).select(F.col("o._member").alias("_kept")), "kept")
+    drop_since(mark, rows, kept)
+    # one plan at every size: what stays grows with the rows and is not broadcast
+    return rows.join(kept.hint("merge"), rows[key] == kept["_kept"], "left_semi").drop(key)
