@@ -1,8 +1,9 @@
 """Snapshot tables over Parquet: immutable files, numbered JSON manifests, one atomic commit each.
 
-A manifest lists the table's files with their partition values and its schema. Writers add files,
-then create the next manifest, which fails if another writer was first (appends try again on top
-of it). Readers resolve a version or a time. Appends land under ``data/`` by an atomic rename, so the
+A manifest lists the table's files with their partition values, its schema and, for a table dealt by
+key, the number of buckets. Writers add files, then write the next manifest under another name and
+rename it, which fails if another writer was first (appends try again on top of it), so a manifest is
+whole or not there; files of a commit that fails are deleted. Readers resolve a version or a time. Appends land under ``data/`` by an atomic rename, so the
 folder can also be read as a stream; rewrites land under ``snap/``. A commit may carry a query and
 batch id; one that is already recorded is skipped, which makes replays of a micro-batch harmless.
 """
@@ -67,12 +68,20 @@ class LakeTable:
         v = manifest["version"]
         if (v - 1 if v else None) != (self.versions() or [None])[-1]:
             raise Conflict(f"{self.path}: version {v} is taken")
+        tmp = self._Path(f"{self.path}/_log/{uuid.uuid4().hex}.tmp")
+        out = self._fs.create(tmp, False)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        jvm, context = self.spark.sparkContext._jvm, self.spark.sparkContext
+        option = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        without_overwrite = context._gateway.new_array(option, 1)
+        without_overwrite[0] = option.NONE
         try:
-            out = self._fs.create(self._Path(f"{self.path}/_log/{v:020d}.json"), False)
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), context._jsc.hadoopConfiguration()).rename(
+                tmp, self._Path(f"{self.path}/_log/{v:020d}.json"), without_overwrite)
         except Exception as e:
+            self._fs.delete(tmp, False)
             raise Conflict(f"{self.path}: version {v} is taken") from e
-        out.write(bytearray(json.dumps(manifest).encode()))
-        out.close()
         return v
 
     def _recorded(self, commit: tuple[str, int] | None) -> bool:
@@ -89,7 +98,7 @@ class LakeTable:
         if not (commit and self._fs.exists(self._Path(target))):
             tmp = f"{self.path}/_tmp/{uuid.uuid4().hex}"
             copies = {f"_p_{c}": F.col(c).cast("string") for c in self.partition_by}
-            out = df.withColumns(copies).repartition(*self.partition_by) if copies else df
+            out = df.withColumns(copies).hint("rebalance", *copies) if copies else df  # a large partition takes several tasks
             writer = out.write
             (writer.partitionBy(*copies) if copies else writer).parquet(tmp)
             self._fs.mkdirs(self._Path(f"{self.path}/{home}"))
@@ -122,8 +131,16 @@ class LakeTable:
                 raise SchemaChange(f"new column {f.name}")
         return StructType([*old.fields, *[f for f in new if f.name not in have]])
 
-    def _commit(self, files, schema: StructType, merge: bool, action: str, commit=None, keep=None) -> int:
+    def _commit(self, files, schema: StructType, merge: bool, action: str, commit=None, keep=None, buckets: int | None = None) -> int:
         """``keep`` says which of the present files stay; appends keep all and may try again."""
+        try:
+            return self._commit_files(files, schema, merge, action, commit, keep, buckets)
+        except Exception:
+            for f in files if commit is None else ():  # a named commit is tried again with the same files
+                self._fs.delete(self._Path(f"{self.path}/{f['path']}"), False)
+            raise
+
+    def _commit_files(self, files, schema: StructType, merge: bool, action: str, commit, keep, buckets: int | None) -> int:
         for _ in range(20):
             now = self.manifest() if self.exists() else None
             old = StructType.fromJson(now["schema"]) if now else None
@@ -132,7 +149,8 @@ class LakeTable:
                 batches[commit[0]] = commit[1]
             stay = [f for f in (now["files"] if now else []) if keep is None or keep(f)]
             m = {"version": now["version"] + 1 if now else 0, "time": time.time(), "action": action, "partition_by": list(self.partition_by),
-                 "schema": self._merged(old, schema, merge).jsonValue(), "files": stay + files, "batches": batches}
+                 "schema": self._merged(old, schema, merge).jsonValue(), "files": stay + files, "batches": batches,
+                 "buckets": buckets if buckets is not None else now.get("buckets", 0) if now else 0}
             try:
                 return self._publish(m)
             except Conflict:
@@ -163,17 +181,21 @@ class LakeTable:
     def upsert(self, batch: DataFrame, keys: list[str], order: str, buckets: int = 0, commit: tuple[str, int] | None = None) -> int | None:
         """Latest row a key of ``batch`` replaces a match only if its ``order`` is greater; others are added.
 
-        With ``buckets`` the table is dealt by key, and only buckets with keys of the batch are rewritten.
+        With ``buckets`` the table is dealt by key, and only buckets with keys of the batch are rewritten. Their
+        number is the table's, from its first upsert on; another one given later is ignored.
         """
         if self._recorded(commit):
             return None
+        if self.exists():
+            buckets = self.manifest().get("buckets", 0)
         if buckets:
             self.partition_by = (BUCKET,)
             batch = batch.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
         rest = [c for c in batch.columns if c not in {*keys, order}]
         fresh = batch.groupBy(*keys).agg(F.max(F.struct(F.col(order), *rest)).alias("_m")).select(*keys, "_m.*").select(*batch.columns)
         if not self.exists():
-            return self._commit(self._write(fresh, "snap"), batch.schema, False, "upsert", commit, keep=lambda f: False)
+            return self._commit(self._write(fresh, "snap"), batch.schema, False, "upsert", commit, keep=lambda f: False, buckets=buckets)
+        fresh = fresh.persist()
         touched = {str(r[0]) for r in fresh.select(BUCKET).distinct().collect()} if buckets else None  # at most ``buckets`` values
         mine = lambda f: touched is None or f["part"].get(BUCKET) in touched
         target = self._read([f for f in self.manifest()["files"] if mine(f)], StructType.fromJson(self.manifest()["schema"]))
@@ -183,7 +205,10 @@ class LakeTable:
         both = target.withColumn("_here", F.lit(1)).alias("t").join(fresh.withColumn("_here", F.lit(1)).alias("b"), on, "full")
         pick = F.when(~there("t"), b).when(there("b") & (F.col(f"b.{order}") > F.col(f"t.{order}")), b).otherwise(t)
         merged = both.select(pick.alias("r")).select("r.*")
-        return self._commit(self._write(merged, "snap"), batch.schema, False, "upsert", commit, keep=lambda f: not mine(f))
+        try:
+            return self._commit(self._write(merged, "snap"), batch.schema, False, "upsert", commit, keep=lambda f: not mine(f))
+        finally:
+            fresh.unpersist()
 
     def _read(self, files: list[dict], schema: StructType) -> DataFrame:
         if not files:

@@ -196,3 +196,35 @@ def test_inventory_stream_and_detector(spark, tmp_path):
     v = spark.createDataFrame([("s", "k", 40, 1, T)], "store_id string, sku string, units_ordered bigint, order_lines bigint, window_start timestamp")
     jobs.run_detector(spark, base, v)
     assert LakeTable(spark, f"{base}/stockout_alerts").read().count() == 1
+
+
+def test_upsert_keeps_the_tables_buckets(spark, tmp_path):
+    t = LakeTable(spark, str(tmp_path / "t"))
+    rows = lambda n, v: spark.range(n).selectExpr("id as k", f"{v} as v")
+    t.upsert(rows(50, 1), ["k"], "v", buckets=16)
+    t.upsert(rows(30, 2), ["k"], "v", buckets=4)
+    got = {r.k: r.v for r in LakeTable(spark, t.path).read().collect()}
+    assert LakeTable(spark, t.path).read().count() == 50 and got == {k: 2 if k < 30 else 1 for k in range(50)}
+
+
+def test_manifests_are_whole_and_failed_commits_leave_nothing(spark, tmp_path):
+    t = LakeTable(spark, str(tmp_path / "t"))
+    t.append(spark.range(3).toDF("a"))
+    with pytest.raises(Conflict):
+        t._publish(t.manifest())
+    assert t.versions() == [0] and not list((tmp_path / "t" / "_log").glob("*.tmp"))
+    before = sorted((tmp_path / "t" / "data").rglob("*.parquet"))
+    t._commit_files, failing = None, t._write(spark.range(2).toDF("a"), "data")
+    with pytest.raises(TypeError):
+        t._commit(failing, spark.range(1).toDF("a").schema, False, "append")
+    assert sorted((tmp_path / "t" / "data").rglob("*.parquet")) == before
+
+
+def test_a_large_partition_is_written_by_several_tasks(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        t = LakeTable(spark, str(tmp_path / "t"), ("day",))
+        t.append(spark.range(400_000).selectExpr("id", "uuid() as x", "date'2024-01-01' as day"))
+        assert len(t.manifest()["files"]) > 1 and t.read().count() == 400_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
