@@ -363,7 +363,8 @@ def near_copies(docs: DataFrame, id_col: str, text_col: str = "text", width: int
     schema = "t int, key long, ci int, cj int, id long, fp long, " + ", ".join(f"{x} long" for x in sigs)
     some = stage(map_buckets(cells, cell, [], _with_company(radius), schema), "company")
     wanted = some.select(F.col("id").alias("_id")).distinct()
-    sets = own.select("doc_id", "shingles").join(wanted, F.col("doc_id") == F.col("_id")).select("_id", "shingles")
+    # one plan at every size: what has company grows with the rows and is not broadcast
+    sets = own.select("doc_id", "shingles").join(wanted.hint("merge"), F.col("doc_id") == F.col("_id")).select("_id", "shingles")
     full = some.join(sets, F.col("id") == F.col("_id")).select(*cell, "id", "fp", *sigs, "shingles")
     edges = stage(map_buckets(full, cell, [], _verified(radius, similarity), "a long, b long"), "copies")
     groups = components(edges, "a", "b")
@@ -381,5 +382,5 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ids = rows.select(F.col(key).alias("_key"), F.col("doc_id"))
     kept = stage(ids.join(group, F.col("_key") == F.col("_member")).groupBy("_group").agg(F.min(order).alias("o")).select(F.col("o._member").alias("_kept")), "kept")
     drop_since(mark, rows, kept)
-    # one plan at every size: what stays grows with the rows and is not broadcast
+    # what stays grows with the rows and is not broadcast either
     return rows.join(kept.hint("merge"), rows[key] == kept["_kept"], "left_semi").drop(key)
