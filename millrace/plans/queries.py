@@ -33,7 +33,11 @@ NOW = datetime(2024, 1, 31)
 
 def scratch(spark: SparkSession) -> str:
     """A new path in the shared folder, or in a local one where none is set."""
-    home = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-")
+    home = spark.conf.get("spark.checkpoint.dir", None)
+    if not home:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        home = tempfile.mkdtemp(prefix="millrace-")
     return f"{home}/millrace-{uuid.uuid4().hex}"
 
 
