@@ -200,10 +200,11 @@ _M1_INV = np.uint64(pow(0xD6E8FEB86659FD93, -1, 2**64))
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of a 64-bit hash, vectorised."""
     x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+    x *= np.uint64(0xFF51AFD7ED558CCD)
+    x ^= x >> np.uint64(33)
+    x *= np.uint64(0xC4CEB9FE1A85EC53)
+    x ^= x >> np.uint64(33)
+    return x
 
 
 _powers: dict[int, np.ndarray] = {}
@@ -232,8 +233,13 @@ class Poly:
 
     def slices(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Mixed hash of values[start:end] and its length."""
-        h = (self.sums[end] - self.sums[start]) * self.inv[start]
-        return mix64(h ^ ((end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        h = self.sums.take(end)
+        h -= self.sums.take(start)
+        h *= self.inv.take(start)
+        size = (end - start).astype(np.uint64)
+        size *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= size
+        return mix64(h)
 
 
 def symbols(data: np.ndarray) -> np.ndarray:

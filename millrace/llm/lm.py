@@ -53,7 +53,8 @@ ORDERS = (3, 5, 0)  # 0: back to where the word began
 TABLE_BITS = (20, 21, 21)  # slots of each context's table, as powers of two
 BASE = np.concatenate(([0], np.cumsum([1 << b for b in TABLE_BITS]))).astype(np.int64)
 BLOCK = 1 << 16  # slots of a block that is sent
-GROUP = 60_000  # bytes handled at once
+GROUP = 120_000  # bytes handled at once
+LEARN = 60_000  # bytes after which the starting weights move on while they are learnt
 EARLY = np.array([32 * (2**k - 1) for k in range(1, 8)])  # symbols after which the first refinements come
 STEP = 2048  # symbols between later ones
 DEPTHS, SURE = 3, 30  # sure: log odds of two and more
@@ -63,6 +64,7 @@ HEIGHTS = 33  # classes of the mixed log odds, half a unit each, in the final st
 RATE, RATE_FINAL, LEAST_MISS = 0.3, 0.5, 0.05
 CUT = 5  # zero bits of a hash of four words behind which a chunk ends: 32 words on average
 AHEAD = 4  # words that a chunk is looked up by
+MERGED = 1 << 20  # different words that a task holds while it counts
 START = 0  # what stands before a text's first chunk
 
 
@@ -136,35 +138,42 @@ class Decisions:
     """All decisions of some texts: slots by context, outcomes, places.
 
     Symbols are taken step by step, and text by text within a step: those of step k are
-    ``order[cuts[k]:cuts[k + 1]]``, symbol ``order[i]`` has the decisions ``at[i]`` to ``at[i + 1]``.
+    ``order[cuts[k]:cuts[k + 1]]``, symbol ``order[i]`` has the decisions ``at[i]`` to ``at[i + 1]``, and
+    decision j belongs to symbol ``order[owner[j]]``. Counting needs no steps: all symbols are one then.
     """
 
-    def __init__(self, texts: list[bytes], code: Code) -> None:
+    def __init__(self, texts: list[bytes], code: Code, stepwise: bool = True) -> None:
         self.s, self.starts = s, starts = _symbols(texts)
         place = np.arange(len(s))
         self.doc = np.repeat(np.arange(len(texts)), np.diff(starts))
         first = starts[:-1][self.doc]
-        step = steps_of(place - first)
-        self.order = np.argsort(step, kind="stable")
-        self.cuts = np.concatenate(([0], np.cumsum(np.bincount(step))))
+        self.step = steps_of(place - first) if stepwise else np.zeros(len(s), np.uint16)
+        self.order = np.argsort(self.step, kind="stable") if stepwise else place
+        self.cuts = np.concatenate(([0], np.cumsum(np.bincount(self.step))))
         space = np.concatenate(([False], SPACE[s[:-1]]))
         word = np.maximum(np.maximum.accumulate(np.where(space, place, 0)), first)
         spelled = (257 * code.which[np.concatenate(([END], s[:-1]))] + s)[self.order]  # the end of the text before counts as the symbol before
-        self.size = code.size[spelled]
-        self.at = np.concatenate(([0], np.cumsum(self.size)))
-        flat = np.repeat(code.start[spelled] - self.at[:-1], self.size)
+        self.at = np.concatenate(([0], np.cumsum(code.size[spelled])))
+        self.owner = np.zeros(self.at[-1], np.int64)  # each symbol has a decision at least
+        self.owner[self.at[1:-1]] = 1
+        np.cumsum(self.owner, out=self.owner)
+        flat = (code.start[spelled] - self.at[:-1]).take(self.owner, mode="clip")
         flat += np.arange(len(flat))
         node = code.nodes.take(flat, mode="clip")
         self.bit = code.bits.take(flat, mode="clip")
-        self.depth = code.depth.take(flat, mode="clip")
+        self.code, self.flat = code, flat
         self.poly = Poly(symbols(s))
         self.slots = []
         for order, bits in zip(ORDERS, TABLE_BITS):
-            h = np.repeat(self.poly.slices(np.maximum(first, place - order) if order else word, place)[self.order], self.size)
+            h = self.poly.slices(np.maximum(first, place - order) if order else word, place)[self.order].take(self.owner, mode="clip")
             h ^= node
             h >>= np.uint64(64 - bits)
             self.slots.append(h.view(np.int64))
 
+    @property
+    def depth(self) -> np.ndarray:
+        return self.code.depth.take(self.flat, mode="clip")
+
 
 def gates(depth: np.ndarray, long: np.ndarray, word: np.ndarray) -> np.ndarray:
     """Place in the code, and whether the two longest contexts are unseen, unsure or sure."""
@@ -178,7 +187,7 @@ def gates(depth: np.ndarray, long: np.ndarray, word: np.ndarray) -> np.ndarray:
 def add_counts(texts: list[bytes], code: Code, totals: np.ndarray) -> None:
     """Add the texts' outcomes to ``totals`` (two counts for each slot)."""
     for lo, hi in groups_of(texts, GROUP):
-        d = Decisions(texts[lo:hi], code)
+        d = Decisions(texts[lo:hi], code, stepwise=False)
         for slots, base, bits in zip(d.slots, BASE, TABLE_BITS):
             slots <<= 1
             slots += d.bit
@@ -217,12 +226,16 @@ class Mixer:
         self.weights = np.full((len(ORDERS), GATES), 0.4 / UNIT, np.float32) if weights is None else weights
         self.final = np.zeros(HEIGHTS, np.float32) if final is None else final
 
-    def costs(self, d: Decisions) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Natural logarithm of each decision's probability; the texts' weights and corrections after their last symbol; gates."""
+    def costs(self, d: Decisions, ends: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Natural logarithm of each decision's probability; the texts' weights and corrections after their last symbol; gates.
+
+        Without ``ends`` the refinements after each text's last step, which no symbol is coded with, are left out.
+        """
         n = len(d.starts) - 1
         odds = [self.odds[base:].take(x, mode="clip") for x, base in zip(d.slots, BASE)]
         gate = gates(d.depth, odds[-2], odds[-1])
-        doc = np.repeat(d.doc[d.order], d.size)
+        doc = d.doc[d.order].take(d.owner, mode="clip")
+        refines = None if ends else (d.step < d.step[d.starts[1:] - 1][d.doc])[d.order].take(d.owner, mode="clip")
         own_gate = doc * GATES + gate
         doc *= HEIGHTS
         odds = [x.astype(np.float32) for x in odds]
@@ -242,12 +255,17 @@ class Mixer:
             cell += doc[i:j]
             x += final.take(cell, mode="clip")
             x *= sg
-            p = 1 / (1 + np.exp(-x))
-            out[i:j] = np.log(p)
-            if k == len(d.cuts) - 2 and n == 1:
+            p = np.exp(-x)
+            p += 1
+            np.reciprocal(p, out=p)
+            np.log(p, out=out[i:j])
+            if k == len(d.cuts) - 2 and (n == 1 or not ends):
                 break
             miss = 1 - p
-            big = np.flatnonzero(miss > LEAST_MISS)
+            far = miss > LEAST_MISS
+            if not ends:
+                far &= refines[i:j]
+            big = np.flatnonzero(far)
             if not len(big):
                 continue
             miss = miss[big] * sg[big]
@@ -264,7 +282,7 @@ class Mixer:
         for lo, hi in groups_of(texts, GROUP):
             d = Decisions(texts[lo:hi], self.code)
             cost = np.empty(len(d.s))
-            cost[d.order] = np.add.reduceat(self.costs(d)[0], d.at[:-1], dtype=np.float64)
+            cost[d.order] = np.bincount(d.owner, self.costs(d, ends=False)[0], len(d.s))
             cost /= math.log(10)
             out[lo:hi] = np.add.reduceat(cost, d.starts[:-1])
             doc, cut, context, content = chunks_of(d)
@@ -274,7 +292,7 @@ class Mixer:
     def learn(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Starting weights and corrections after some texts: group by group, the mean of what its texts end with."""
         m = Mixer(self.code, self.odds, self.weights.copy(), self.final.copy())
-        for lo, hi in groups_of(texts, GROUP):
+        for lo, hi in groups_of(texts, LEARN):
             d = Decisions(texts[lo:hi], self.code)
             _, w, final, _ = m.costs(d)
             share = np.diff(d.starts) / len(d.s)
@@ -400,11 +418,27 @@ def _words(texts: list[bytes]):
 def word_counts(train: DataFrame) -> DataFrame:
     """(h, c): count of each word of (doc_id, text)."""
 
+    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        h, n = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(h, kind="stable")
+        h, n = h[order], n[order]
+        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+        return h[first], np.add.reduceat(n, first) if len(h) else n
+
+    def sent(parts) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in parts], names=["h", "n"])
+
     def count(batches):
+        parts = []
         for b in batches:
             for _, _, _, h in _words(text_bytes(b.column(1))):
-                u, n = np.unique(h, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(n, pa.int64())], names=["h", "n"])
+                parts.append(np.unique(h, return_counts=True))
+                if sum(len(u) for u, _ in parts) > MERGED:
+                    parts = [merged(parts)]
+                    if len(parts[0][0]) > MERGED // 2:
+                        yield sent(parts.pop())
+        if parts:
+            yield sent(merged(parts))
 
     return train.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("c"))
 
