@@ -443,6 +443,37 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("c"))
 
 
+class Known:
+    """Counts of some words by hash: sorted hashes, and where those of each value of the top bits begin."""
+
+    def __init__(self, h: np.ndarray, c: np.ndarray) -> None:
+        order = np.argsort(self._rank(h), kind="stable")
+        self.h, self.c = h[order], c[order]
+        self.shift = np.uint64(64 - max(1, len(h).bit_length()))
+        top = self._rank(self.h) >> self.shift
+        self.first = np.searchsorted(top, np.arange((1 << 64 - int(self.shift)) + 1, dtype=np.uint64)).astype(np.int32)
+
+    @staticmethod
+    def _rank(h: np.ndarray) -> np.ndarray:
+        return mix64(h.view(np.uint64))
+
+    def counts(self, h: np.ndarray) -> np.ndarray:
+        """Of each word; 0 for those not held."""
+        out = np.zeros(len(h), np.int64)
+        top = (self._rank(h) >> self.shift).view(np.int64)
+        at, end = self.first.take(top), self.first.take(top + 1)
+        open_ = np.flatnonzero(at < end)
+        at, end, h = at[open_], end[open_], h[open_]
+        while len(open_):
+            same = self.h.take(at) == h
+            hit = np.flatnonzero(same)
+            out[open_[hit]] = self.c.take(at[hit])
+            at += 1
+            left = np.flatnonzero(~same & (at < end))
+            open_, at, end, h = open_[left], at[left], end[left], h[left]
+        return out
+
+
 def _most_frequent(counts: DataFrame, limit: int) -> DataFrame:
     """The words above the least step of the logarithm of the count that ``limit`` words at most lie above."""
     step = F.floor(F.log2("c") * 16)
@@ -506,13 +537,12 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modu
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     ends = train.count()
     n_all, n_kinds = total.n + ends, total.v + (ends > 0)
-    top = _most_frequent(counts, frequent).toPandas().sort_values("h")
-    known = spark.sparkContext.broadcast((top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64)))
+    top = _most_frequent(counts, frequent).toPandas()
+    known = spark.sparkContext.broadcast(Known(top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64)))
     chunk = pa.struct([("context", pa.int64()), ("content", pa.int64()), ("cost", pa.float64()), ("own_c", pa.int32()), ("own_n", pa.int32())])
 
     def one(b: pa.RecordBatch) -> dict:
         texts = text_bytes(b.column(1))
-        keys, values = known.value
         score, groups = mixer.value.run(texts)
         doc, context, content, cost = (np.concatenate(x) for x in zip(*groups))
         parts = pa.StructArray.from_arrays([pa.array(context.view(np.int64)), pa.array(content.view(np.int64)), pa.array(cost),
@@ -522,9 +552,9 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modu
         sums, hits, rare = np.zeros(len(texts)), np.zeros(len(texts), np.int64), []
         for lo, hi, owner, h in _words(texts):
             n[lo:hi] = np.bincount(owner, minlength=hi - lo)
-            at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
-            found = keys[at] == h if len(keys) else np.zeros(len(h), bool)
-            sums[lo:hi] = np.bincount(owner[found], np.log10(values[at[found]] + 1.0), hi - lo)
+            c = known.value.counts(h)
+            found = c > 0
+            sums[lo:hi] = np.bincount(owner[found], np.log10(c[found] + 1.0), hi - lo)
             hits[lo:hi] = np.bincount(owner[found], minlength=hi - lo)
             left, d = h[~found], owner[~found]
             rare += np.split(left, np.searchsorted(d, np.arange(1, hi - lo)))

@@ -225,3 +225,14 @@ def test_all_training_rows_are_counted(spark):
     m, want = lm.fit(documents(spark, rows).select("doc_id", "text"), mixer_rows=3), mixer(every)
     assert (m.code.nodes == want.code.nodes).all() and (m.odds == want.odds).all()
     assert (m.weights != want.weights).any() and np.isfinite(m.weights).all()
+
+
+def test_known_words_against_a_dictionary():
+    rng = np.random.default_rng(3)
+    h = np.unique(rng.integers(-2**63, 2**63 - 1, 5000))
+    c = rng.integers(1, 100, len(h))
+    asked = np.concatenate((rng.choice(h, 3000), rng.integers(-2**63, 2**63 - 1, 3000), np.array([0, -1, 2**63 - 1, -2**63])))
+    for n in (0, 1, len(h)):
+        want = dict(zip(h[:n].tolist(), c[:n].tolist()))
+        assert lm.Known(h[:n], c[:n]).counts(asked).tolist() == [want.get(x, 0) for x in asked.tolist()]
+    assert not len(lm.Known(h, c).counts(h[:0]))
