@@ -182,8 +182,8 @@ def remove_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def one(b: pa.RecordBatch) -> dict:
         n, removed, kept = [], [], []
-        for t, x in zip(text_bytes(b.column(1)), b.column(2).to_pylist()):
-            k, words = kept_words(t, factors([(y["s"], y["e"], y["source"], y["at"]) for y in x or ()]))
+        for t, x in zip(text_bytes(b.column(1)), b.column(2)):  # one row's spans at a time: there may be one for each window
+            k, words = kept_words(t, factors([(y["s"], y["e"], y["source"], y["at"]) for y in x.as_py() or ()]))
             n.append(k)
             removed.append(k - len(words))
             line = b" ".join(words)
@@ -199,7 +199,7 @@ def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     kind = _kind(spans)
 
     def one(b: pa.RecordBatch) -> dict:
-        own = [factors([tuple(y[k] for k in ("s", "e", "source", "at")) for y in x]) for x in b.column(1).to_pylist()]
+        own = [factors([tuple(y[k] for k in ("s", "e", "source", "at")) for y in x.as_py()]) for x in b.column(1)]
         kinds = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("source", b.schema.field("doc_id").type), ("source_start", pa.int32())]))
         return {"doc_id": b.column(0), "factors": pa.array([[dict(zip(("start", "end", "source", "source_start"), f)) for f in x] for x in own], kinds)}
 
