@@ -1,18 +1,20 @@
 """Byte-level BPE encoding and decoding (operator 9).
 
 Texts are split by the tokenizer's pattern and each match is encoded by itself, without
-special tokens. A match is mapped byte for byte to Latin-1 and one pass of an Aho-Corasick
-automaton over it notes the longest token that starts at each byte. From the left the longest
+special tokens. One pass of an Aho-Corasick automaton over a match's bytes, from the last to the
+first, notes the longest token that starts at each byte. From the left the longest
 token is taken whose pair with the token before it is compatible (merging the two tokens'
 bytes by rank gives back just these two); else the next shorter token that starts there; where
 none fits, the position is dead and the token before it gives way. Compatible neighbours all
 along are what merging by rank yields, and the valid encoding of a prefix is unique, so each
-position is left at most once: linear time. Compatibility is memoised by pair.
+position is left at most once: linear time. Two tokens are tested by taking back their last merges
+by turns, the later first: at no stage may the two at the boundary merge before what is taken back.
+Compatibility is memoised by pair.
 
 Where the pattern allows it, text between two single spaces is encoded by itself (a match of the
 public pattern never spans "non-space, space, non-space" other than from that space on); any other
-pattern runs over whole texts. Results of matches are memoised too. Both memos have a fixed size in
-bytes and are dropped at the end of each partition. Decoding joins the bytes of the ids.
+pattern runs over whole texts. Results of matches and such texts are memoised too. Both memos hold a
+fixed number of entries and are dropped at the end of each partition. Decoding joins the bytes of the ids.
 
 The vocabulary is read by each worker: a path, or None for the public one wherever it is installed.
 
@@ -24,9 +26,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from array import array
+from itertools import chain
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -37,7 +38,8 @@ from millrace.llm.common import arrow_map, table
 
 MEMO = 100_000  # matches in one of the two generations, of at most SHORT characters each
 SHORT = 24
-PAIRS = 1 << 18  # pairs of tokens whose compatibility is held, in 9 bytes each
+PAIRS = 1 << 17  # pairs of tokens whose compatibility is held
+STEPS = 170_000  # steps of the automaton that are held; those over falls to shorter states are added as texts need them
 #: white space other than the space, by either reading of \\s
 GAPS = frozenset(c for c in map(chr, range(0x3001)) if c != " " and (c.isspace() or regex.match(r"\s", c)))
 Encoded = tuple[int, ...]
@@ -71,10 +73,7 @@ class Coder:
         self.bytes = {i: t for t, i in self.ranks.items()}
         self.pattern = regex.compile(pattern)
         self.by_spaces = pattern == default_tokenizer()[1]
-        self.automaton = ahocorasick.Automaton()
-        for t, i in self.ranks.items():
-            self.automaton.add_word(t.decode("latin-1"), i)
-        self.automaton.make_automaton()
+        self.automaton()
         self.size = [len(self.bytes.get(i, b"")) for i in range(max(self.bytes) + 1)]
         #: the longest token that is a proper prefix of a token, -1 if there is none
         self.shorter = [-1] * len(self.size)
@@ -83,16 +82,91 @@ class Coder:
                 if (s := self.ranks.get(t[:n])) is not None:
                     self.shorter[i] = s
                     break
+        self.splits()
         self.text = [str(i) for i in range(len(self.size))]
         self.forget()
 
     def forget(self) -> None:
-        #: of pair (a, b) at a place that its ids give: 2 * (a << 32 | b), and 1 if compatible
-        self.pairs = array("q", [-1]) * PAIRS
-        #: what matches encode to, in two generations
+        #: whether the pair (a, b) is compatible, at a << 32 | b
+        self.pairs: dict[int, bool] = {}
+        #: what matches and pieces encode to, in two generations
         self.memo: dict[str, Encoded] = {}
         self.older: dict[str, Encoded] = {}
 
+    def automaton(self) -> None:
+        """Aho-Corasick over the tokens read backwards: a text's bytes taken from the last to the first lead to states that
+        know the longest token starting at the byte. The step from a state by a byte is at ``state << 8 | byte``."""
+        self.steps: dict[int, int] = {}
+        self.starts, depth = [-1], [0]
+        for t, i in self.ranks.items():
+            state = 0
+            for x in reversed(t):
+                to = self.steps.get(state << 8 | x)
+                if to is None:
+                    to = self.steps[state << 8 | x] = len(self.starts)
+                    self.starts.append(-1)
+                    depth.append(depth[state] + 1)
+                state = to
+            self.starts[state] = i
+        self.fails = [0] * len(depth)
+        for key, to in sorted(self.steps.items(), key=lambda k: depth[k[0] >> 8]):
+            if key >> 8:
+                self.fails[to] = self._fall(self.fails[key >> 8], key & 255)
+            if self.starts[to] < 0:
+                self.starts[to] = self.starts[self.fails[to]]
+
+    def _fall(self, state: int, x: int) -> int:
+        """The step from a state by a byte, or from the longest of its shorter states that has one."""
+        at = state
+        while (to := self.steps.get(at << 8 | x)) is None and at:
+            at = self.fails[at]
+        if to is None:
+            to = 0
+        if len(self.steps) < STEPS:
+            self.steps[state << 8 | x] = to
+        return to
+
+    def splits(self) -> None:
+        """The two tokens that each token is last merged from; those of single bytes are the token itself.
+
+        Where each longer token has such two, both of lower rank, merges come in the order of their ranks, and
+        ``compatible`` takes them back one by one; any other vocabulary is merged step by step.
+        """
+        self.left, self.right = list(range(len(self.size))), list(range(len(self.size)))
+        self.whole: dict[int, int] | None = {}
+        for i in sorted(self.bytes):
+            data = self.bytes[i]
+            a = self.shorter[i]
+            while a >= 0:
+                b = self.ranks.get(data[self.size[a]:], i)
+                if a < i and b < i and self.apart(a, b):
+                    self.whole[a << 32 | b] = i
+                    self.left[i], self.right[i] = a, b
+                    break
+                a = self.shorter[a]
+            else:
+                if len(data) != 1:
+                    self.whole = None
+                    return
+
+    def apart(self, a: int, b: int) -> bool:
+        """Whether no merge crosses from a to b while both are merged: the last merge of either is taken back, by turns."""
+        whole, left, right, before = self.whole.get, self.left, self.right, len(self.size)
+        while whole(a << 32 | b, before) >= before:
+            if a > b:
+                before, a = a, right[a]
+                if a == before:
+                    before, b = b + 1, left[b]
+                    if b + 1 == before:
+                        return True
+            else:
+                before, b = b + 1, left[b]
+                if b + 1 == before:
+                    before, a = a, right[a]
+                    if a == before:
+                        return True
+        return False
+
     def merged(self, data: bytes) -> list[int]:
         """Merging by rank, step by step: the definition that compatibility rests on."""
         parts = [data[i:i + 1] for i in range(len(data))]
@@ -104,28 +178,39 @@ class Coder:
         return [self.ranks[p] for p in parts]
 
     def compatible(self, a: int, b: int) -> bool:
-        at, key = (a * 40503 ^ b) % PAIRS, a << 33 | b << 1
-        known = self.pairs[at]
-        if known >> 1 != key >> 1:
-            known = self.pairs[at] = key | (self.merged(self.bytes[a] + self.bytes[b]) == [a, b])
-        return bool(known & 1)
+        """Whether token b may stand behind token a; behind -1, whether merging makes it at all."""
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        if self.whole is None:
+            fits = self.merged(self.bytes.get(a, b"") + self.bytes[b]) == [x for x in (a, b) if x >= 0]
+        else:
+            fits = self.apart(a, b)
+        self.pairs[a << 32 | b] = fits
+        return fits
 
     def encode_match(self, data: bytes) -> list[int]:
         """The ids of one match of the pattern."""
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        n, size, shorter, compatible, pairs = len(data), self.size, self.shorter, self.compatible, self.pairs
-        longest = [-1] * (n + 1)
-        for end, i in self.automaton.iter(data.decode("latin-1")):
-            longest[end - size[i] + 1] = i  # ends grow, so the longest comes last
-        dead = bytearray(n + 1)
+        n, size, shorter, compatible, known = len(data), self.size, self.shorter, self.compatible, self.pairs.get
+        longest, step, starts, state = [-1], self.steps.get, self.starts, 0
+        for x in reversed(data):
+            to = step(state << 8 | x)
+            state = self._fall(state, x) if to is None else to
+            longest.append(starts[state])
+        longest.reverse()
+        dead, made = bytearray(n + 1), self.whole is not None
         out: list[int] = []
         at, t, before = 0, longest[0], -1
         while at < n:
             while t >= 0:
-                if not dead[at + size[t]] and (before < 0 or pairs[(before * 40503 ^ t) % PAIRS] == before << 33 | t << 1 | 1 or compatible(before, t)):
-                    break
+                if not dead[at + size[t]]:
+                    if before < 0 and made:
+                        break
+                    fits = known(before << 32 | t)
+                    if compatible(before, t) if fits is None else fits:
+                        break
                 t = shorter[t]
             if t < 0:
                 dead[at] = 1
@@ -141,9 +226,20 @@ class Coder:
         return out
 
     def _match(self, m: str) -> Encoded:
-        got = self.older.pop(m, None)
-        if got is None:
-            got = tuple(self.encode_match(m.encode()))
+        got = self.memo.get(m)
+        return self._keep(m, self.older.pop(m, None) or tuple(self.encode_match(m.encode()))) if got is None else got
+
+    def _piece(self, p: str) -> Encoded:
+        """The ids of what stands between two single spaces; a match by itself is such a piece, so they share the memo."""
+        if p[0] == " ":
+            if p[1:].isalpha():  # a word, which is one match
+                return self._match(p)
+            if p[-1] in ",." and p[1:-1].isalpha():  # a word and the mark after it
+                return self._match(p[:-1]) + self._match(p[-1])
+        got = self.memo.get(p) or self.older.pop(p, None)
+        return self._keep(p, got or tuple(chain.from_iterable(map(self._match, self.pattern.findall(p)))))
+
+    def _keep(self, m: str, got: Encoded) -> Encoded:
         if len(m) <= SHORT:
             if len(self.memo) >= MEMO:
                 self.older, self.memo = self.memo, {}
@@ -154,8 +250,6 @@ class Coder:
         """The text cut before each single space that stands between two characters other than white space."""
         if not text:
             return []
-        if not self.by_spaces:
-            return [text]
         if not (text[0] in GAPS or text[-1] in GAPS or "  " in text or any(c + " " in text or " " + c in text for c in GAPS if c in text)):
             first, *rest = text.split(" ")
             return [*([first] if first else []), *[" " + p for p in rest]]
@@ -163,25 +257,14 @@ class Coder:
 
     def encode(self, text: str) -> list[int]:
         """The ids of the pattern's matches, one after the other."""
-        out: list[int] = []
-        get, match, take = self.memo.get, self._match, out.extend
-        for p in self.pieces_of(text):
-            got = get(p) if self.by_spaces else None
-            if got is not None and p[-1] not in GAPS:
-                take(got)
-                continue
-            mark = p[-1]
-            if self.by_spaces and (mark == "," or mark == "."):
-                core = p[:-1]
-                got = get(core)
-                if got is not None and core[-1].isalpha():  # a word that is one match, and the mark after it
-                    take(got)
-                    take(get(mark) or match(mark))
-                    continue
-            for m in self.pattern.findall(p):
-                take(get(m) or match(m))
-            get = self.memo.get
-        return out
+        if not self.by_spaces:
+            return list(chain.from_iterable(map(self._match, self.pattern.findall(text))))
+        pieces = self.pieces_of(text)
+        got = list(map(self.memo.get, pieces))
+        for k, ids in enumerate(got):
+            if ids is None:
+                got[k] = self._piece(pieces[k])
+        return list(chain.from_iterable(got))
 
     def text_of(self, ids: list[int]) -> str:
         return " ".join(map(self.text.__getitem__, ids))

@@ -98,6 +98,38 @@ def test_memos_may_overflow(monkeypatch):
     assert c.encode(t) == reference.encode_ordinary(t)
 
 
+def test_compatibility_takes_merges_back(monkeypatch):
+    c = bpe.Coder(*bpe.default_tokenizer())
+    r, known = random.Random(4), list(c.ranks)
+    pairs = [(r.choice(known[:n]), r.choice(known[:n])) for n in (400, 3000, len(known)) for _ in range(1500)]
+    pairs += [(t[:k], t[k:]) for t in known[256::40] for k in range(1, len(t)) if t[:k] in c.ranks and t[k:] in c.ranks]
+    ids = [(c.ranks[a], c.ranks[b]) for a, b in pairs]
+    want = [c.merged(a + b) == list(x) for (a, b), x in zip(pairs, ids)]
+    assert {True, False} == set(want) and len(pairs) > 4500
+
+    def never(data):
+        raise AssertionError("merged step by step")
+
+    monkeypatch.setattr(c, "merged", never)
+    assert [c.compatible(*x) for x in ids] == want
+    reference = tiktoken.Encoding("own", pat_str=bpe.default_tokenizer()[1], mergeable_ranks=c.ranks, special_tokens={})
+    t = "".join(r.choice("eéntionthersüß ,.\n") for _ in range(20_000))
+    assert c.encode(t) == reference.encode_ordinary(t)
+
+
+@pytest.mark.parametrize("longer", [[b"ab", b"bcd", b"abc"], [b"abcd", b"ab", b"cd"], [b"ab", b"bc", b"abc", b"bcab"], []])
+def test_bpe_of_any_vocabulary(tmp_path, longer):
+    ranks = {bytes([k]): k for k in range(256)} | {t: 256 + k for k, t in enumerate(longer)}
+    path = tmp_path / "own.tiktoken"
+    path.write_bytes(b"\n".join(base64.b64encode(t) + b" %d" % k for t, k in ranks.items()))
+    r = random.Random(5)
+    for pattern in (bpe.default_tokenizer()[1], r"[a-c]+|."):
+        c = bpe.Coder(str(path), pattern)
+        reference = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        for t in ["", *("".join(r.choice("abcd ,") for _ in range(r.randint(1, 12))) for _ in range(400))]:
+            assert c.encode(t) == reference.encode_ordinary(t)
+
+
 def der(tag, body):
     size = len(body)
     head = bytes([size]) if size < 128 else (lambda b: bytes([0x80 | len(b)]) + b)(size.to_bytes((size.bit_length() + 7) // 8, "big"))
