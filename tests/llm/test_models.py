@@ -236,3 +236,12 @@ def test_known_words_against_a_dictionary():
         want = dict(zip(h[:n].tolist(), c[:n].tolist()))
         assert lm.Known(h[:n], c[:n]).counts(asked).tolist() == [want.get(x, 0) for x in asked.tolist()]
     assert not len(lm.Known(h, c).counts(h[:0]))
+
+
+def test_lm_counts_the_decisions_that_it_codes_without_ordering_them():
+    texts = [b"", b"one", b"the rain " * 40, "größer é".encode() * 700]
+    code = lm.Code(lm.pair_counts(texts))
+    coded, counted = lm.Decisions(texts, code), lm.Decisions(texts, code, stepwise=False)
+    assert len(coded.cuts) > 3 and not hasattr(counted, "order")
+    back = np.argsort(coded.order[coded.owner], kind="stable")
+    assert all((a[back] == b).all() for a, b in zip([*coded.slots, coded.bit], [*counted.slots, counted.bit]))
