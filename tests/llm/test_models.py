@@ -245,3 +245,54 @@ def test_lm_counts_the_decisions_that_it_codes_without_ordering_them():
     assert len(coded.cuts) > 3 and not hasattr(counted, "order")
     back = np.argsort(coded.order[coded.owner], kind="stable")
     assert all((a[back] == b).all() for a, b in zip([*coded.slots, coded.bit], [*counted.slots, counted.bit]))
+
+
+def odd_bytes():
+    return [b"", b"one", b"", b"the rain " * 40, "größer é".encode() * 700, b" ", b"ab", b"abcd e", b"\xff\x00", *[(t or "").encode() for _, t in texts()[:10]]]
+
+
+def test_lm_contexts_against_slices():
+    sample = odd_bytes()
+    c = lm.Contexts(sample, lm.Code(lm.pair_counts(sample)))
+    for k, (order, bits) in enumerate(zip(lm.ORDERS, lm.TABLE_BITS)):
+        at, start = 0, []
+        for t in sample:
+            for i in range(len(t) + 1):
+                start.append(at + (max(0, i - order) if order else max((j + 1 for j in range(i - 1, max(-1, i - 60), -1) if lm.SPACE[t[j]]), default=0)))
+            at += len(t) + 1
+        if not order:  # words of some dozen bytes only
+            assert max(len(w) for t in sample for w in re.split(rb"[ \t-\r]", t) if len(t) < 5000) < 60
+        want = c.poly.slices(np.array(start), np.arange(at)) >> np.uint64(64 - bits)
+        assert (lm._slots(c.packed, k) == want.view(np.int64)).all()
+
+
+@pytest.mark.parametrize("counted", [1, 3000, 1 << 20])
+def test_lm_counts_alike_symbols_at_once(monkeypatch, counted):
+    """The same tables as decision by decision, and copies are spelled out once for each buffer."""
+    monkeypatch.setattr(lm, "COUNTED", counted)
+    monkeypatch.setattr(lm, "GROUP", 1000)
+    sample = odd_bytes()
+    code = lm.Code(lm.pair_counts(sample))
+    want, got = np.zeros(2 * lm.BASE[-1], np.int32), np.zeros(2 * lm.BASE[-1], np.int32)
+    d = lm.Decisions(sample, code, stepwise=False)
+    for slots, base in zip(d.slots, lm.BASE):
+        np.add.at(want, 2 * (base + slots) + d.bit, 1)
+    lm.add_counts(sample, code, got)
+    assert (got == want).all()
+    lm.add_counts([], code, got)
+    spelled, plain = [], lm._spelling
+    monkeypatch.setattr(lm, "_spelling", lambda s, code: (spelled.append(len(s)), plain(s, code))[1])
+    lm.add_counts(sample * 20, code, got)
+    assert (got == 21 * want).all() and (counted < 1 << 20 or sum(spelled) <= len(lm.ORDERS) * len(d.s))
+
+
+def test_lm_scores_do_not_depend_on_company(monkeypatch):
+    """Texts are coded by falling length; scores and chunks come back in the order of the texts."""
+    monkeypatch.setattr(lm, "GROUP", 9000)
+    sample = odd_bytes() + [b"the rain " * n for n in (3, 4, 11, 25, 60, 240, 480)]
+    m = mixer(sample)
+    score, (doc, context, content, cost) = m.run(sample)
+    assert (np.diff(doc) >= 0).all() and set(doc) == set(range(len(sample)))
+    for k, t in enumerate(sample):
+        one, (_, *own) = m.run([t])
+        assert score[k] == one[0] and all((a == b[doc == k]).all() for a, b in zip(own, (context, content, cost)))
